@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, metric_join, mixing, packing, quality, simhash, token_store
+from tidemark.llm import language, metric_join, mixing, packing, page_text, quality, simhash, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_metric_join": op2_metric_join,
     "op3_language": op3_language,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_token_store": op8_token_store,
     "op9_mixing": op9_mixing,
+    "op10_page_text": op10_page_text,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, metric_join, mixing, packing, page_text, quality, simhash, token_store
+from tidemark.llm import language, metric_join, mixing, packing, page_text, quality, simhash, token_counts, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_metric_join": op2_metric_join,
     "op3_language": op3_language,
     "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_token_store": op8_token_store,

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, metric_join, mixing, packing, page_text, quality, simhash, token_counts, token_store
+from tidemark.llm import chroma, language, metric_join, mixing, packing, page_text, quality, simhash, token_counts, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.recording_report(table(spark, sf_dir, "conversations"))
+
+
 def op2_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chroma": op1_chroma,
     "op2_metric_join": op2_metric_join,
     "op3_language": op3_language,
     "op4_packing": op4_packing,

@@ -10,8 +10,10 @@ library's BPE model directly, all others pass through the library's whole pipeli
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 #: Id appended to every document.
 END_ID = 2
 #: Words kept by one worker before its table starts anew. It bounds memory; ids do not depend on it.
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 
 # Fixed values of the word-end vocabulary's file: its pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,7 +53,6 @@ class WordEncoder:
         return cls._kept[path]
 
     def __init__(self, path: str, max_words: int = MAX_WORDS) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         from tidemark.llm.frames import single_threaded
@@ -65,18 +66,23 @@ class WordEncoder:
         if kind != ["NFC", "Replace", "Lowercase"] or split != PRE_TOKEN:
             raise ValueError("this vocabulary's normaliser or pre-tokeniser is not known to split at white space")
         self.model = self.tokenizer.model
-        self.pattern = regex.compile(PRE_TOKEN + r"|\n")
-        self.plain = regex.compile(r"[\x21-\x3B\x3D-\x7EÀ-įĲ-ž]+")
+        # The pre-token pattern spelled out for plain characters, in lower case, with words one on a line.
+        letter = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
+        self.pattern = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[0-9]|[^\n0-9{letter}]+|\n")
+        self.odd = re.compile("[^\n\x21-\x3B\x3D-\x7E\u00c0-\u012f\u0132-\u017e]")
         self.alphabet = byte_alphabet()
         del self.alphabet[10]  # line feeds separate the pieces while their bytes are mapped
         self.max_words = max_words
         self.clear()
+        self._forget_pieces()
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
+        self.pool, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _forget_pieces(self) -> None:
         self.pieces: dict[str, int] = {"\n": 0}
         self.piece_ids, self.piece_first = array("I"), array("q", [0, 0])
-        self.pool, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn_pieces(self, new: list[str]) -> None:
         shown = "\n".join(new).encode().decode("latin-1").translate(self.alphabet).split("\n")
@@ -94,20 +100,25 @@ class WordEncoder:
         self.pool = np.concatenate([self.pool, ids])
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [x.decode("utf-8") for x in new]
-        plain = [self.plain.fullmatch(x) is not None for x in texts]
-        if easy := [x for x, p in zip(texts, plain, strict=True) if p]:
-            found = self.pattern.findall("\n".join(easy).lower())
-            if fresh := set(found).difference(self.pieces):
-                self._learn_pieces(list(fresh))
-            at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
-            ids, bounds = gathered(np.frombuffer(self.piece_ids, np.uint32), np.frombuffer(self.piece_first, np.int64), at)
-            ends = np.append(bounds[:-1][at == 0], bounds[-1])
-            self._add([x for x, p in zip(new, plain, strict=True) if p], ids.copy(), ends)
-        late = [(x, t) for x, t, p in zip(new, texts, plain, strict=True) if not p]
-        if late:
-            got = [x.ids for x in self.tokenizer.encode_batch([t for _, t in late], add_special_tokens=False)]
-            self._add([x for x, _ in late], np.array([i for x in got for i in x], np.uint32), np.cumsum([len(x) for x in got]))
+        lines = b"\n".join(new).decode("utf-8")
+        if self.odd.search(lines):
+            texts = lines.split("\n")
+            late = [k for k, x in enumerate(texts) if self.odd.search(x)]
+            got = [x.ids for x in self.tokenizer.encode_batch([texts[k] for k in late], add_special_tokens=False)]
+            self._add([new[k] for k in late], np.array([i for x in got for i in x], np.uint32), np.cumsum([len(x) for x in got]))
+            out = set(late)
+            new = [x for k, x in enumerate(new) if k not in out]
+            lines = b"\n".join(new).decode("utf-8")
+        if not new:
+            return
+        found = self.pattern.findall(lines.lower())
+        if len(self.pieces) > self.max_words:
+            self._forget_pieces()
+        if fresh := set(found).difference(self.pieces):
+            self._learn_pieces(list(fresh))
+        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        ids, bounds = gathered(np.frombuffer(self.piece_ids, np.uint32) if self.piece_ids else np.zeros(0, np.uint32), np.frombuffer(self.piece_first, np.int64), at)
+        self._add(new, ids, np.append(bounds[:-1][at == 0], bounds[-1]))
 
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts one after the other, each followed by ``end``, and the offsets of the texts.
@@ -122,12 +133,14 @@ class WordEncoder:
             word_ends = np.concatenate([[0], np.cumsum(inside.to_numpy(zero_copy_only=False))])[word_ends]
             words = words.filter(inside)
         coded = words.cast(pa.large_binary()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > self.max_words:
             self.clear()
-        if new := [x for x in distinct if x not in self.words]:
+        at = np.fromiter(map(self.words.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if (missing := np.flatnonzero(at < 0)).size:
+            new = [distinct[k] for k in missing.tolist()]
             self._learn(new)
-        at = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+            at[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
         ids, bounds = gathered(self.pool, self.first, at[coded.indices.to_numpy()] if len(distinct) else at)
         tail = 0 if end is None else 1
         offsets = bounds[word_ends] + tail * np.arange(len(texts) + 1)

@@ -26,11 +26,7 @@ from tidemark.functions.columns import LONG, WIDE_MARK, Native, Value, Wide, eit
 from tidemark.plans import bounds, rules
 from tidemark.plans.parser import parse
 from tidemark.plans.rules import BoundNames, Checked, Output
-from tidemark.plans.tree import Expr, Name, Select, walk
-
-FROM, UNTIL = "valid_from", "valid_until"
-#: Epochs of a range up to this number are broadcast to the versions (16 bytes each).
-BROADCAST_EPOCHS = 1_000_000
+from tidemark.plans.tree import Binary, Expr, Name, Param, walk
 
 
 @dataclass(frozen=True)
@@ -146,15 +142,15 @@ class Plan:
         return any(Name(self.primary) in walk(e) for e in rest)
 
     def _is_bound(self, e: Expr) -> bool:
-        found = bounds._about(self.primary, e)
-        return found in ((">=", rules.Param(self.names.low)), ("<=", rules.Param(self.names.high)))
+        found = bounds.about(self.primary, e)
+        return found in ((">=", Param(self.names.low)), ("<=", Param(self.names.high)))
 
     def rest(self) -> Expr | None:
         """WHERE without the primary bounds, which the scan applies."""
         out: Expr | None = None
         for e in bounds.conjuncts(self.checked.where):
             if not self._is_bound(e):
-                out = e if out is None else rules.Binary("AND", out, e)
+                out = e if out is None else Binary("AND", out, e)
         return None if out is None else rules.fold(rules.bind(out, self.values))
 
     # -- scans
@@ -240,8 +236,6 @@ class Plan:
     def aggregated(self, frame: DataFrame, keep: Value, values: list[Value], flag: Column | None, wide: bool, weighted: bool) -> QueryResult:
         match = whole(keep)
         n = F.col("__n") if weighted else F.lit(1).cast("bigint")
-        if wide and weighted:
-            frame, n = frame, F.col("__n")
         aggs: list[Column] = [F.coalesce(F.sum(F.when(match, n)), F.lit(0).cast("bigint")).alias("__count"), F.coalesce(F.bool_or(flag if flag is not None else F.lit(False)), F.lit(False)).alias("__flag")]
         for k, (o, v) in enumerate(zip(self.outputs, values, strict=True)):
             if wide:
@@ -289,6 +283,3 @@ def isolated(engine: Engine, text: str, low: int | None = None, high: int | None
     checked = rules.check(parse(text), engine.catalog, engine.names)
     return bounds.isolated_text(checked, engine.names, low, high)
 
-
-def parsed(text: str) -> Select:
-    return parse(text)

@@ -4,17 +4,17 @@ Arithmetic runs on Arrow batches in Python, the only place where it has to; SUM
 adds the limbs with native aggregates, and carries once at the end.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from tidemark.plans.evaluate import apply
 
 WIDTH = 32
+FLAGGED = StructType([StructField("v", BinaryType()), StructField("err", BooleanType())])
 
 
 def encode(value: int) -> bytes:
@@ -43,7 +43,7 @@ def widen(number: Column) -> Column:
 
 
 def _operation(op: str) -> Callable:
-    @F.pandas_udf("struct<v: binary, err: boolean>")
+    @F.pandas_udf(FLAGGED)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         got = [(None, None) if x is None or y is None else apply(op, decode(x), decode(y)) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame({"v": [None if v is None else encode(v) for v, _ in got], "err": [f for _, f in got]})
@@ -62,7 +62,7 @@ def limb_sums(value: Column) -> list[Column]:
     return [F.sum(F.conv(F.hex(F.substring(value, 4 * k + 1, 4)), 16, 10).cast("decimal(18,0)")) for k in range(8)]
 
 
-@F.pandas_udf("struct<v: binary, err: boolean>")
+@F.pandas_udf(FLAGGED)
 def carry(limbs: pd.Series) -> pd.DataFrame:
     """The sum from its limb sums (an array, most significant first), modulo 2^256, and whether it wrapped."""
     out = []
@@ -77,7 +77,7 @@ def carry(limbs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["v", "err"])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def divide(total: pd.Series, count: pd.Series) -> pd.Series:
     """floor(total / count), null where total is."""
     return pd.Series([None if t is None else encode(decode(t) // int(n)) for t, n in zip(total, count, strict=True)])

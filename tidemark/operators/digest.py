@@ -19,7 +19,7 @@ MODULUS = (1 << 61) - 1
 def row_digest(columns: Sequence[str]) -> Column:
     """60 bits of the MD5 of a row's values, each with its length, so that no two rows have the same text."""
     parts = [F.concat(F.length(v).cast("string"), F.lit(":"), v) for v in (F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)]
-    return F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 15), 16, 10).cast("decimal(18,0)")
+    return F.conv(F.substring(F.md5(F.concat(*parts).cast("binary")), 1, 15), 16, 10).cast("decimal(19,0)")
 
 
 def table_digest(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -40,7 +40,7 @@ def positions(live: DataFrame, epoch: str, secondary: str, key: Sequence[str]) -
 
 def _level(k: Column) -> Column:
     """Trailing zero bits of a positive number."""
-    return F.expr("bit_count((__p & -__p) - 1)") if k is None else F.bit_count(k.bitwiseAND(-k) - 1).cast("int")
+    return F.bit_count(k.bitwiseAND(-k) - 1).cast("int")
 
 
 def ancestors(k: Column, n: Column) -> Column:

@@ -13,7 +13,7 @@ from tidemark.plans.tree import Binary, Expr, Literal, Name, Param, conjuncts, t
 _TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
 
 
-def _about(column: str, e: Expr) -> tuple[str, Expr] | None:
+def about(column: str, e: Expr) -> tuple[str, Expr] | None:
     """(operator, other side) of a comparison of the column, whichever side it is on."""
     if isinstance(e, Binary) and e.op in _TURNED:
         if e.left == Name(column):
@@ -27,7 +27,7 @@ def check_primary(checked: Checked, names: BoundNames) -> None:
     """A WHERE clause holds both inclusive bounds, by their placeholders, in its conjunction. Without WHERE none are needed."""
     if checked.where is None:
         return
-    found = [_about(checked.table.primary.name, e) for e in conjuncts(checked.where)]
+    found = [about(checked.table.primary.name, e) for e in conjuncts(checked.where)]
     if (">=", Param(names.low)) not in found or ("<=", Param(names.high)) not in found:
         raise MissingPrimaryBounds(f"{checked.table.primary.name} needs to be between {names.low} and {names.high}")
 
@@ -64,7 +64,7 @@ def secondary_range(checked: Checked, values: Mapping[str, int]) -> SecondaryRan
     high: int | None = None
     flag = False
     for e in conjuncts(checked.where):
-        got = _about(checked.table.secondary.name, e)
+        got = about(checked.table.secondary.name, e)
         if got is None or not _static(got[1]) or _depth(got[1]) > 1:
             continue
         op, side = got

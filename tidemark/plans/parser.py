@@ -1,7 +1,7 @@
 """Query text to a :class:`Select`.
 
 The grammar knows more than the dialect allows, so that a refused clause is named in its error. Precedence, from loose to
-tight: OR, XOR, AND, NOT, comparisons with IS, IN, BETWEEN and LIKE, bitwise operators, + and -, * / and %, signs.
+tight: OR, AND, XOR, NOT, comparisons with IS, IN, BETWEEN and LIKE, bitwise operators, + and -, * / and %, signs.
 """
 
 from __future__ import annotations
@@ -206,21 +206,21 @@ class Parser:
 
     # -- expressions
     def expression(self) -> Expr:
-        left = self.exclusive()
+        left = self.conjunction()
         while self.take("OR"):
-            left = Binary("OR", left, self.exclusive())
+            left = Binary("OR", left, self.conjunction())
         return left
 
-    def exclusive(self) -> Expr:
-        left = self.conjunction()
-        while self.take("XOR"):
-            left = Binary("XOR", left, self.conjunction())
+    def conjunction(self) -> Expr:
+        left = self.exclusive()
+        while self.take("AND"):
+            left = Binary("AND", left, self.exclusive())
         return left
 
-    def conjunction(self) -> Expr:
+    def exclusive(self) -> Expr:
         left = self.negation()
-        while self.take("AND"):
-            left = Binary("AND", left, self.negation())
+        while self.take("XOR"):
+            left = Binary("XOR", left, self.negation())
         return left
 
     def negation(self) -> Expr:

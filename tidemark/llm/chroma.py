@@ -107,8 +107,8 @@ def filter_bank() -> list[tuple[int, int, int, int]]:
     return [(k % 5, 5 * k % 7, 4 + k % 3, (WIDTH, WIDTH // 2, WIDTH // 3)[k // 5 % 3]) for k in range(16)]
 
 
-#: Levels of a log ratio and the Gray codes of the four ranges between them.
-LEVELS, GRAY = np.array([-0.35, 0.0, 0.35]), np.array([0, 1, 3, 2], np.uint32)
+#: Levels of a log ratio, off the round values that equal or empty rectangles give, and the Gray codes of the four ranges between them.
+LEVELS, GRAY = np.array([-0.3505, 0.0005, 0.3505]), np.array([0, 1, 3, 2], np.uint32)
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
@@ -139,7 +139,8 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         else:  # middle and outer times
             one = area(w // 3, y, w - 2 * (w // 3), h)
             two = area(0, y, w, h) - one
-        ratio = np.log1p(np.maximum(one, 0)) - np.log1p(np.maximum(two, 0))
+        # Rounded, so that sums from different starts of the image give the same bits.
+        ratio = np.round(np.log1p(np.maximum(one, 0)) - np.log1p(np.maximum(two, 0)), 6)
         out |= GRAY[np.searchsorted(LEVELS, ratio)] << np.uint32(2 * k)
     return out
 

@@ -9,7 +9,7 @@ texts is one sparse product of presence rows and the n-gram x language matrix L'
 whatever the number of landmarks.
 
 N-grams run over letters alone: letters are lower-cased, the commonest 62 of the training texts have codes of their own, other
-letters share one, and any run of other characters is one space. With 64 codes the n-grams number 64 + 64^2 + 64^3,
+letters share one, and any run of other characters is one space, which counts only beside a letter. With 64 codes the n-grams number 64 + 64^2 + 64^3,
 and presence is exact, without hashing.
 
 Training takes about ``per_language`` documents of each language by a hash of the id, from rows with a language, outside the
@@ -67,6 +67,7 @@ def grams(text: bytes, table: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     c = np.concatenate([[0], c[keep], [0]])
     two = c[:-1] * CODES + c[1:]
     scratch[c] = True
+    scratch[0] = False  # the space alone says nothing
     scratch[two + CODES] = True
     scratch[two[:-1] * CODES + c[2:] + (CODES + CODES**2)] = True
     found = np.flatnonzero(scratch)

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Pages of a host whose words share a suffix array; words of a repeated run; distinct pages that it stands on.
 GROUP, LEAST_WORDS, LEAST_PAGES = 256, 5, 3
+#: Pages of a task, about.
+TASK_PAGES = 2048
 #: Hosts over GROUP pages up to this number are broadcast (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -194,8 +196,12 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     rows = df.drop(*({"text", "n_chars"} - {id_col, url_col, html_col}))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    large = df.groupBy(host.alias("__h")).agg(F.count("*").alias("__n")).where(F.col("__n") > group)
-    small = F.broadcast if large.count() <= BROADCAST_HOSTS else (lambda x: x)
+    sizes = df.groupBy(host.alias("__h")).agg(F.count("*").alias("__n"))
+    large = sizes.where(F.col("__n") > group)
+    pages, hosts = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count_if(F.col("__n") > group)).first()
+    small = F.broadcast if hosts <= BROADCAST_HOSTS else (lambda x: x)
+    # Partitions follow the number of pages, so that a task's share does not grow with the table.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(pages) // TASK_PAGES))
     keyed = rows.withColumn("__host", host)
     keyed = keyed.join(small(large), keyed["__host"] == large["__h"], "left")
     parts = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(float(group)))
@@ -229,7 +235,7 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         if held:
             yield close()
 
-    return keyed.repartition("__host", "__part").sortWithinPartitions("__host", "__part").mapInArrow(work, schema)
+    return keyed.repartition(tasks, "__host", "__part").sortWithinPartitions("__host", "__part").mapInArrow(work, schema)
 
 
 def page_report(df: DataFrame) -> DataFrame:

@@ -157,6 +157,19 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORD
     return np.cumsum(change[:-1]) > 0
 
 
+def inner_runs(covered: np.ndarray, least_words: int) -> np.ndarray:
+    """Covered runs of a block that are long enough on their own, or the whole block. A few words that only continue a
+    repeated run from the block beside stay."""
+    if covered.all():
+        return covered
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    out = covered.copy()
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if b - a < least_words:
+            out[a:b] = False
+    return out
+
+
 def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES) -> list[str]:
     """Main text of each (page key, html) of one group; keys tell distinct pages apart."""
     blocks = [blocks_of(x) for _, x in pages]
@@ -181,7 +194,7 @@ def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS,
                 kept.append(text)
                 continue
             words = text.split()
-            gone = covered[at : at + len(words)]
+            gone = inner_runs(covered[at : at + len(words)], least_words)
             at += len(words)
             if state == OPEN and not has_main and not gone.all():
                 kept.append(" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))

@@ -73,6 +73,13 @@ def test_against_integers(engine, query):
     assert flag == want_flag
 
 
+def test_matched_rows(engine):
+    want, _ = expected(f"SELECT a FROM t WHERE {IN} AND s < 4", 2, 9)
+    assert engine.query(f"SELECT DISTINCT a FROM t WHERE {IN} AND s < 4", 2, 9, limit=2).matched() == len(want)
+    assert engine.query(f"SELECT SUM(a) FROM t WHERE {IN} AND s < 4", 2, 9).matched() == len(want)
+    assert engine.query(f"SELECT SUM(a) FROM t WHERE {IN} AND s = 99", 2, 9).matched() == 0
+
+
 def test_flag_counts_rows_that_where_drops(engine):
     _, flag = engine.rows(f"SELECT a / b AS x FROM t WHERE {IN} AND b > 0", 1, 12)
     assert flag

@@ -9,6 +9,7 @@ from tidemark.errors import EpochError, IngestError, KeyStateError
 from tidemark.catalog import table_def
 from tidemark.operators import digest, keys, lineage, scan, store
 from tidemark.operators.epochs import EpochStore
+from tidemark.operators.value import ValueStore
 from tidemark.sources.rows import cells_from_json, ingest_rows
 from tidemark.sources.words import Slice, extract_mapping, extract_simple, extract_with_length, merge_single_mapping, pack
 from tidemark.streaming.commits import commit_stream
@@ -112,6 +113,25 @@ def test_expansion_forms_agree(spark, monkeypatch):
     assert scan.weighted(v, m, 20, 70).agg(F.sum("n")).first()[0] == len(one)
 
 
+def test_witness(spark):
+    v = spark.createDataFrame([(1, 10, 1, 9), (2, 40, 1, 9)], "id bigint, s bigint, valid_from bigint, valid_until bigint")
+    ask = lambda low, high, e=2: [(r.side, r.id) for r in keys.witness(v, e, ["id"], "s", low, high).collect()]
+    assert ask(20, 30) == [(-1, 1)] and ask(0, 5) == [(1, 1)] and ask(41, 50) == [(-1, 2)] and ask(5, 15) == [] and ask(20, 30, 99) == []
+
+
+def test_single_value(spark, tmp_path):
+    s = ValueStore(spark, str(tmp_path / "value"), "bigint", "create")
+    assert s.fetch() is None
+    with pytest.raises(KeyStateError):
+        s.update(1, 5)
+    s.store(1, 5)
+    s.update(4, 6)
+    s.store(7, 8)
+    assert [s.fetch_at(e) for e in (0, 1, 3, 4, 7)] == [None, 5, 5, 6, 8]
+    s.rollback(4)
+    assert s.fetch() == 6
+
+
 def test_tree_shape():
     for n in range(1, 70):
         for k in range(1, n + 1):

@@ -44,13 +44,18 @@ class Source:
 
 @dataclass
 class QueryResult:
-    """``frame``: the result's rows. ``error()``: whether any operation on any processed row, or a sum, left the domain."""
+    """``frame``: the result's rows. ``error()``: whether any operation on any processed row, or a sum, left the domain. ``matched()``: how many
+    rows match WHERE, before DISTINCT, LIMIT and OFFSET."""
 
     frame: DataFrame
     errors: DataFrame
+    counts: DataFrame
     checked: Checked
     wide: bool
 
+    def matched(self) -> int:
+        return int(self.counts.first()[0])
+
     def error(self) -> bool:
         return bool(self.errors.first()[0])
 
@@ -231,7 +236,8 @@ class Plan:
             rows = rows.orderBy(*keys)
             rows = rows.offset(self.offset) if self.offset else rows
             rows = rows.limit(self.limit) if self.limit is not None else rows
-        return QueryResult(rows.select(*[F.col(f"`{n}`") for n in names]), errors, self.checked, wide)
+        counts = frame.agg(F.count_if(whole(keep)).alias("matched"))
+        return QueryResult(rows.select(*[F.col(f"`{n}`") for n in names]), errors, counts, self.checked, wide)
 
     def aggregated(self, frame: DataFrame, keep: Value, values: list[Value], flag: Column | None, wide: bool, weighted: bool) -> QueryResult:
         match = whole(keep)
@@ -275,7 +281,7 @@ class Plan:
             rows = rows.where(F.lit(False))
         if self.limit is not None:
             rows = rows.limit(self.limit)
-        return QueryResult(rows, errors, self.checked, wide)
+        return QueryResult(rows, errors, one.select(F.col("__count").alias("matched")), self.checked, wide)
 
 
 def isolated(engine: Engine, text: str, low: int | None = None, high: int | None = None) -> str:

@@ -42,6 +42,15 @@ def widen(number: Column) -> Column:
     return F.unhex(F.lpad(digits, 2 * WIDTH, "0"))
 
 
+def narrow(value: Column) -> Column:
+    """A 32-byte integer below 10^38 as DECIMAL(38,0); null if it is greater."""
+    base = F.lit(1 << 56).cast("decimal(38,0)")
+    digit = lambda at, n: F.conv(F.hex(F.substring(value, at, n)), 16, 10).cast("decimal(38,0)")
+    high, middle, low = digit(17, 2), digit(19, 7), digit(26, 7)
+    fits = F.substring(value, 1, 16) == F.lit(bytearray(16))
+    return F.when(fits, F.try_add(F.try_multiply(F.try_add(F.try_multiply(high, base), middle).cast("decimal(38,0)"), base), low).cast("decimal(38,0)"))
+
+
 def _operation(op: str) -> Callable:
     @F.pandas_udf(FLAGGED)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -43,21 +43,30 @@ def bracket_secondary(versions: DataFrame, epoch: int, key: Sequence[str], secon
     above high (of equal values the one with the least key): side (-1 below, 1 above), secondary value and key."""
     s, live = F.col(secondary), snapshot_at(versions, epoch)
     id_ = F.struct(*key)
+    names = list(dict.fromkeys([secondary, *key]))
     parts = []
     if low > 0:
-        parts.append(live.where(s < low).agg(F.min_by(F.struct(secondary, *key), F.struct((-s).alias("s"), id_.alias("k"))).alias("r")).select(F.lit(-1).alias("side"), "r"))
+        parts.append(live.where(s < low).agg(F.min_by(F.struct(*names), F.struct((-s).alias("s"), id_.alias("k"))).alias("r")).select(F.lit(-1).alias("side"), "r"))
     if high < TOP:
-        parts.append(live.where(s > high).agg(F.min_by(F.struct(secondary, *key), F.struct(s.alias("s"), id_.alias("k"))).alias("r")).select(F.lit(1).alias("side"), "r"))
+        parts.append(live.where(s > high).agg(F.min_by(F.struct(*names), F.struct(s.alias("s"), id_.alias("k"))).alias("r")).select(F.lit(1).alias("side"), "r"))
     if not parts:
-        parts = [live.where(F.lit(False)).select(F.lit(0).alias("side"), F.struct(secondary, *key).alias("r"))]
+        parts = [live.where(F.lit(False)).select(F.lit(0).alias("side"), F.struct(*names).alias("r"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     out = out.where("r is not null")
-    names = list(dict.fromkeys([secondary, *key]))
     return out.select("side", *[F.col(f"r.{c}").alias(c) for c in names])
 
 
+def witness(versions: DataFrame, epoch: int, key: Sequence[str], secondary: str, low: int, high: int) -> DataFrame:
+    """For an epoch without a row in [low, high], the row that shows it: the nearest below low, else the nearest above high. No row if
+    the epoch has one in the range, or none at all."""
+    found = snapshot_at(versions, epoch).where((F.col(secondary) >= low) & (F.col(secondary) <= high)).limit(1)
+    near = bracket_secondary(versions, epoch, key, secondary, low, high)
+    first = near.agg(F.min_by(F.struct(*near.columns), "side").alias("r")).where("r is not null").select("r.*")
+    return first.join(found.agg(F.count("*").alias("__n")), F.col("__n") == 0).drop("__n")
+
+
 def row_neighbours(live: DataFrame, epoch: str, secondary: str, key: Sequence[str]) -> DataFrame:
     """For each live row of an epoch, the key before and after it in the order of (secondary, key). An epoch is one sort."""
     w = Window.partitionBy(epoch).orderBy(secondary, *key)

@@ -45,25 +45,45 @@ def _level(k: Column) -> Column:
 
 def ancestors(k: Column, n: Column) -> Column:
     """Array of a position's ancestors, nearest first."""
-    levels = F.sequence(F.lit(0), F.lit(62))
+    levels = F.sequence(F.lit(0), F.lit(61))
     two = F.lit(2).cast("bigint")
-    power = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
-    at = lambda j: k - F.pmod(k, power(j) * two) + power(j)
-    inside = F.filter(levels, lambda j: (j > _level(k)) & (j < 62) & (power(F.least(j, F.lit(61))) <= n))
+    at = lambda j: k - F.pmod(k, _power(j) * two) + _power(j)
+    inside = F.filter(levels, lambda j: (j > _level(k)) & (_power(j) <= n))
     return F.filter(F.transform(inside, at), lambda x: x <= n)
 
 
+def _power(j: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), j.cast("int"))
+
+
+def left_child(k: Column) -> Column:
+    """Null for a leaf's level."""
+    z = _level(k)
+    return F.when(z > 0, k - _power(F.greatest(z - 1, F.lit(0))))
+
+
+def right_child(k: Column, n: Column) -> Column:
+    """The highest position right of k below its own ancestors that is still in the tree; null without one."""
+    z = _level(k)
+    reach = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(z - 1, F.lit(0))), lambda j: k + _power(j)), lambda x: x <= n)
+    return F.when(z > 0, F.array_max(reach))
+
+
+def topology(placed: DataFrame, epoch: str, key: Sequence[str]) -> DataFrame:
+    """For each row its position, parent, children and depth in its epoch's tree; the root has no parent."""
+    k, n = F.col("__position"), F.col("__size")
+    up = ancestors(k, n)
+    return placed.select(epoch, *key, k.alias("position"), F.get(up, F.lit(0)).alias("parent"), left_child(k).alias("left_child"), right_child(k, n).alias("right_child"), F.size(up).cast("bigint").alias("depth"))
+
+
 def wide_lineage(placed: DataFrame, core: Column, epoch: str, key: Sequence[str], depth: int = 2) -> DataFrame:
     """(epoch, key, is_core): the rows chosen by ``core``, all on their paths to the root, and their descendants ``depth`` levels down."""
     start = placed.where(core).select(F.col(epoch).alias("__e"), F.col("__position").alias("__p"), F.col("__size").alias("__n"))
     paths = start.select("__e", "__n", F.explode(F.array_append(ancestors(F.col("__p"), F.col("__n")), F.col("__p"))).alias("__p")).distinct()
     found, front = paths.select("__e", "__p"), paths
     for _ in range(depth):
-        k, n, z = F.col("__p"), F.col("__n"), _level(F.col("__p"))
-        power = lambda j: F.call_function("shiftleft", F.lit(1).cast("bigint"), j.cast("int"))
-        left = F.when(z > 0, k - power(F.greatest(z - 1, F.lit(0))))
-        right = F.array_max(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(z - 1, F.lit(0))), lambda j: k + power(j)), lambda x: x <= n))
-        front = front.select("__e", "__n", F.explode(F.array_compact(F.array(left, F.when(z > 0, right)))).alias("__p")).distinct()
+        both = F.array(left_child(F.col("__p")), right_child(F.col("__p"), F.col("__n")))
+        front = front.select("__e", "__n", F.explode(F.array_compact(both)).alias("__p")).distinct()
         found = found.unionByName(front.select("__e", "__p"))
     found = found.distinct()
     rows = placed.join(found, (F.col(epoch) == F.col("__e")) & (F.col("__position") == F.col("__p")))

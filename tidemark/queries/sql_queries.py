@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import u256
 from tidemark.queries.tables import engine, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +103,23 @@ add("scenario_before_first", f"SELECT SUM(value) AS v FROM user_state WHERE {IN_
 add("scenario_partly_before_first", f"SELECT AVG(value) AS v FROM user_state WHERE {IN_RANGE} AND user_id < 5", 0, 21, f"select {average('value')} as v from live where block between 0 and 21 and user_id < 5 having count(*) > 0", U)
 add("scenario_gap", f"SELECT AVG(value) AS v FROM user_state WHERE {IN_RANGE}", 71, 76, f"select {average('value')} as v from live where block between 71 and 76 having count(*) > 0", U)
 add("scenario_star_expr", f"SELECT *, value + $1 AS v FROM user_state WHERE {IN_RANGE} AND user_id = 5", 70, 120, "select block, user_id, value, kind, k, value + 3 as v from live where block between 70 and 120 and user_id = 5", U, {"$1": 3})
+
+
+# 256-bit arithmetic: the same dialect in the wide form, shown as decimal text.
+
+
+def add_wide(name: str, text: str, low: int, high: int, oracle: str, tables: str, limit: int | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = engine(spark, sf_dir).query(text, low, high, limit=limit, wide=True).frame
+        return got.select(*[u256.narrow(F.col(c)).cast("string").alias(c) for c in got.columns])
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE_SQL[name] = with_tables(tables) + oracle
+
+
+add_wide("wide_sums", f"SELECT SUM(price * price * qty) AS total, AVG(price * price) AS mean, MIN(price * qty) AS least, MAX(price - disc) AS most, COUNT(tax) AS n FROM lineitem_epoch WHERE {IN_RANGE} AND price * 7 > 1000", 300, 400,
+    "select sum(price::hugeint * price * qty)::varchar as total, (sum(price::hugeint * price) // count(*))::varchar as mean, min(price * qty)::varchar as least, max(price - disc)::varchar as most, count(*)::varchar as n from lineitem_epoch where block between 300 and 400 and price * 7 > 1000", L)
+add_wide("wide_rows", f"SELECT orderkey, price * price * custkey / (custkey + 1) AS v, price * price % 1000003 AS w FROM orders_epoch WHERE {IN_RANGE} AND price * price > custkey", 300, 330,
+    "select orderkey::varchar as orderkey, (price::hugeint * price * custkey // (custkey + 1))::varchar as v, (price::hugeint * price % 1000003)::varchar as w from orders_epoch where block between 300 and 330 and price::hugeint * price > custkey", O)
+add_wide("wide_versions", f"SELECT SUM(value * value * value) AS total, COUNT(k) AS n FROM user_state WHERE {IN_RANGE}", 7, 210, "select sum(value::hugeint * value * value)::varchar as total, count(*)::varchar as n from live", U)

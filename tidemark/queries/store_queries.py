@@ -226,6 +226,29 @@ def lineage_query(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.wide_lineage(placed, F.col("user_id") % 17 == 3, "block", ["user_id"])
 
 
+@query(
+    """, x as (select block, user_id, row_number() over (partition by block order by value, user_id) as p, count(*) over (partition by block) as n from live),
+    pw as (select j, (1::bigint << j) as b from range(0, 40) t(j)),
+    up as (select block, user_id, p, (select min_by((x.p // (2 * b)) * 2 * b + b, j) from pw where b > (x.p & -x.p) and (x.p // (2 * b)) * 2 * b + b <= x.n) as parent,
+                  (select count(*) from pw where b > (x.p & -x.p) and (x.p // (2 * b)) * 2 * b + b <= x.n)::bigint as depth from x),
+    down as (select block, parent as p, max(case when p < parent then p end) as l, min(case when p > parent then p end) as r from up where parent is not null group by block, parent)
+    select up.block, up.user_id, up.p as position, up.parent, down.l as left_child, down.r as right_child, up.depth from up left join down on up.block = down.block and up.p = down.p""",
+    "live",
+)
+def tree_topology(spark: SparkSession, sf: str) -> DataFrame:
+    placed = lineage.positions(_live(spark, sf), "block", "value", ["user_id"])
+    return lineage.topology(placed, "block", ["user_id"])
+
+
+@query(
+    """, s as (select * from user_state where valid_from <= 12 and valid_until >= 12)
+    select -1 as side, user_id from s where user_id < 1000000 order by user_id desc limit 1""",
+    "user_state",
+)
+def absence_witness(spark: SparkSession, sf: str) -> DataFrame:
+    return keys.witness(user_state(spark, sf), 12, ["user_id"], "user_id", 1_000_000, 2_000_000).select("side", "user_id")
+
+
 @query("select qty, disc, count(*)::bigint as multiplicity from lineitem_epoch where block between 300 and 900 group by qty, disc", "lineitem_epoch")
 def distinct_multiplicity(spark: SparkSession, sf: str) -> DataFrame:
     return lineitem_epoch(spark, sf).where("block between 300 and 900").groupBy("qty", "disc").agg(F.count("*").alias("multiplicity"))

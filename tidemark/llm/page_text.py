@@ -40,7 +40,11 @@ RAW = "script|style|noscript|template|iframe|textarea|title|svg|math|object|sele
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video audio".split())
 CONTAINERS = frozenset("article aside body center details dialog div dl fieldset figure footer form head header main menu nav ol section table tbody td tfoot th thead tr ul button label".split())
 OUTSIDE = frozenset("aside footer form head menu nav dialog button label fieldset".split())
-OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments discussion disqus replies share sharing social related recommended recommendations widget toolbar pagination pager login signup skip search contentinfo complementary".split())
+OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments discussion disqus replies share sharing social related recommended recommendations widget toolbar pagination pager login signup skip search contentinfo complementary".split())
+#: Of page headers; inside an article they name the article's own.
+HEADER_WORDS = frozenset("header masthead".split())
+#: First words of names that say what is around or missing, such as has-sidebar.
+NOT_ITSELF = frozenset("has no not with without is".split())
 MAIN = frozenset("article main".split())
 
 _TOKEN = re.compile(
@@ -59,10 +63,14 @@ def kind_of(tag: str, rest: str, inside_main: bool) -> int:
         return GOES
     if rest and tag not in ("body", "main"):
         for m in _NAMES.finditer(rest):
-            if not OUTSIDE_WORDS.isdisjoint(_WORDS.findall((m[1] or m[2] or m[3] or "").lower())):
-                return GOES
-            if (m[1] or m[2] or m[3] or "").lower() == "main":
-                return STAYS
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = _WORDS.findall(name)
+                if not words or words[0] in NOT_ITSELF:
+                    continue
+                if name == "main":
+                    return STAYS
+                if not OUTSIDE_WORDS.isdisjoint(words) or not inside_main and not HEADER_WORDS.isdisjoint(words):
+                    return GOES
     return STAYS if tag in MAIN else OPEN
 
 

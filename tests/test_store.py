@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import EpochError, IngestError, KeyStateError
 from tidemark.catalog import table_def
-from tidemark.operators import digest, keys, lineage, scan, store
+from tidemark.operators import digest, keys, lineage, scan, show, store
 from tidemark.operators.epochs import EpochStore
 from tidemark.operators.value import ValueStore
 from tidemark.sources.rows import cells_from_json, ingest_rows
@@ -132,6 +132,14 @@ def test_single_value(spark, tmp_path):
     assert s.fetch() == 6
 
 
+def test_show(spark, tmp_path):
+    s = EpochStore(spark, str(tmp_path / "store"), {"t": ["id"]}, "create")
+    s.commit(1, {"t": ops(spark, *[("insert", k, 100 - k) for k in range(7)])})
+    rows = {r.position: (r.id, r.parent, r.left_child, r.right_child, r.depth) for r in show.rows_at(s, "t", 1, "v").collect()}
+    assert rows[4] == (3, None, 2, 6, 0) and rows[1] == (6, 2, None, None, 2) and rows[6] == (1, 4, 5, 7, 1)
+    assert {r.place: r.position for r in show.around(s, "t", 1, "v", 2).collect()} == {"row": 2, "parent": 4, "left": 1, "right": 3}
+
+
 def test_tree_shape():
     for n in range(1, 70):
         for k in range(1, n + 1):

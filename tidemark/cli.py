@@ -1,4 +1,4 @@
-"""Command line: check a query, show its isolated form, its key queries or its fingerprint, against a catalog file."""
+"""Command line: check a query, show its isolated form, its secondary range or its fingerprint, against a catalog file."""
 
 from __future__ import annotations
 

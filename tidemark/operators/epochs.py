@@ -53,6 +53,8 @@ class EpochStore:
 
     def _write(self, name: str, value: dict) -> None:
         fs, draft = self._fs(name), self._path(name + ".draft")
+        if fs.exists(self._path(name)):
+            raise EpochError(f"{name} was written by another commit")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()

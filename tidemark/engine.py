@@ -241,25 +241,29 @@ class Plan:
 
     def aggregated(self, frame: DataFrame, keep: Value, values: list[Value], flag: Column | None, wide: bool, weighted: bool) -> QueryResult:
         match = whole(keep)
+        if flag is None:
+            # No operation can set the flag, so rows that don't match need not be looked at.
+            frame, match = frame.where(match), None
+        matching = lambda c: c if match is None else F.when(match, c)
         n = F.col("__n") if weighted else F.lit(1).cast("bigint")
-        aggs: list[Column] = [F.coalesce(F.sum(F.when(match, n)), F.lit(0).cast("bigint")).alias("__count"), F.coalesce(F.bool_or(flag if flag is not None else F.lit(False)), F.lit(False)).alias("__flag")]
+        aggs: list[Column] = [F.coalesce(F.sum(matching(n)), F.lit(0).cast("bigint")).alias("__count"), F.coalesce(F.bool_or(flag if flag is not None else F.lit(False)), F.lit(False)).alias("__flag")]
         for k, (o, v) in enumerate(zip(self.outputs, values, strict=True)):
             if wide:
                 c = u256.widen(v.column.cast("bigint")) if v.truth else v.column
                 if o.aggregate in ("SUM", "AVG"):
                     if weighted:
                         c = u256.arithmetic("*", c, u256.widen(n))[0]
-                    aggs += [s.alias(f"__{k}_{j}") for j, s in enumerate(u256.limb_sums(F.when(match, c)))]
+                    aggs += [s.alias(f"__{k}_{j}") for j, s in enumerate(u256.limb_sums(matching(c)))]
                 elif o.aggregate in ("MIN", "MAX"):
-                    aggs.append((F.min if o.aggregate == "MIN" else F.max)(F.when(match, c)).alias(f"__{k}"))
+                    aggs.append((F.min if o.aggregate == "MIN" else F.max)(matching(c)).alias(f"__{k}"))
                 continue
             c = whole(v).cast("bigint") if v.truth else whole(v)
             if o.aggregate in ("SUM", "AVG"):
                 if (v.most or 1) >= 10**28:
                     raise NeedsWideArithmetic("sums of large numbers")
-                aggs.append(F.sum(F.when(match, c.cast("decimal(28,0)") * n.cast("decimal(10,0)") if weighted else c.cast("decimal(28,0)"))).alias(f"__{k}"))
+                aggs.append(F.sum(matching(c.cast("decimal(28,0)") * n.cast("decimal(10,0)") if weighted else c.cast("decimal(28,0)"))).alias(f"__{k}"))
             elif o.aggregate in ("MIN", "MAX"):
-                aggs.append((F.min if o.aggregate == "MIN" else F.max)(F.when(match, c)).alias(f"__{k}"))
+                aggs.append((F.min if o.aggregate == "MIN" else F.max)(matching(c)).alias(f"__{k}"))
         one = frame.agg(*aggs)
         shown, wraps = [], [F.col("__flag")]
         for k, o in enumerate(self.outputs):

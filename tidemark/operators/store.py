@@ -28,10 +28,10 @@ def build_versions(log: DataFrame, key: Sequence[str], epoch: str = "epoch", del
 
 
 def last_writes(events: DataFrame, key: Sequence[str], epoch: str, order: str) -> DataFrame:
-    """Of all writes to a key in one epoch, the one with the greatest ``order``."""
+    """Of all writes to a key in one epoch, the one with the greatest ``order``, which is unique among them."""
     values = [c for c in events.columns if c not in (*key, epoch)]
-    best = events.groupBy(*key, epoch).agg(F.max_by(F.struct(*values), order).alias("__v"))
-    return best.select(*key, epoch, *[F.col(f"__v.{c}").alias(c) for c in values])
+    # One max_by a column, not one of a struct: with numbers alone the aggregation is by hash.
+    return events.groupBy(*key, epoch).agg(*[F.max_by(c, order).alias(c) for c in values])
 
 
 def snapshot_at(versions: DataFrame, epoch: int) -> DataFrame:

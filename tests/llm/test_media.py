@@ -64,6 +64,17 @@ def test_a_split_cell(spark, monkeypatch):
     assert got == {k: (links[k], label[k]) for k in range(120)}
 
 
+def test_vectors_against_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, v) for k, v in enumerate([*planted(120), None, [0.0] * 12, [float("nan")] * 12, [1.0, 2.0], [2.0, 4.0]])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    assert sorted(con.sql(metric_join.ORACLE_SQL).fetchall()) == sorted(tuple(r) for r in metric_join.near_vectors(df).collect())
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert metric_join.near_vectors(empty).collect() == []

@@ -39,6 +39,24 @@ MAX_PIVOTS = 512
 MARGIN = 1e-4
 SLACK = 1e-9
 
+#: What ``near_vectors`` returns for a table with unique ids, in DuckDB SQL over all pairs.
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(embedding) > 0 and list_bool_and([coalesce(isfinite(x), false) for x in embedding])
+    and list_bool_or([x <> 0 for x in embedding])),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and case when len(a.e) = len(b.e) then list_cosine_similarity(a.e, b.e) end >= 0.9),
+reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union select reach.a, links.b from reach join links on reach.b = links.a)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e
+join (select a, min(b) as component_id from reach group by a) c on c.a = e.vec_id
+left join (select a, count(*) as n from links group by a) n on n.a = e.vec_id
+"""
+
 
 def unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_page_text": op10_page_text,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_metric_join": metric_join.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

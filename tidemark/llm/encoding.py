@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: Id appended to every document.
 END_ID = 2
 #: Words kept by one worker before its table starts anew. It bounds memory; ids do not depend on it.
-MAX_WORDS = 800_000
+MAX_WORDS = 500_000
 
 # Fixed values of the word-end vocabulary's file: its pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import encoding, language, mixing, packing, quality, simhash, token_counts, token_store
+from tidemark.llm import encoding, language, mixing, packing, quality, shingles, simhash, token_counts, token_store
 from tidemark.llm.components import components
 from tidemark.llm.frames import fresh_path
 
@@ -289,6 +289,47 @@ def test_keep_one(spark, docs):
     assert kept.where("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_near_copies_by_shingles(spark, docs, monkeypatch, small):
+    """Against all pairs, both by single pairs and by blocks; copies with edits far beyond two bits are found."""
+    monkeypatch.setattr(shingles, "SMALL", small)
+    monkeypatch.setattr(shingles, "BLOCK", 7)
+    r = random.Random(5)
+    rows = [(d, t) for d, t in pairs(docs) if d is not None]
+    for g in range(4):
+        base = [f"w{r.randrange(900)}" for _ in range(150)]
+        for k in range(12):
+            copy = list(base)
+            for at in r.sample(range(150), r.randrange(5)):
+                copy[at] = f"x{r.randrange(900)}"
+            rows.append((1000 + 20 * g + k, " ".join(copy)))
+    df = spark.createDataFrame([*rows, (None, "the null id")], "doc_id bigint, text string").repartition(3)
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+    ids, sets = [d for d, _ in rows], [plain(t) for _, t in rows]
+    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
+    root = roots(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    assert {x.doc_id: x.component_id for x in shingles.near_duplicates(df).where("doc_id is not null").collect()} == {d: ids[k] for d, k in zip(ids, root, strict=True)}
+    bits = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
+    assert any((bits[d] ^ bits[ids[k]]).bit_count() > 2 for d, k in zip(ids, root, strict=True))
+    kept = shingles.keep_one(df)
+    assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == sorted({ids[k] for k in root}) and kept.where("doc_id is null").count() == 1
+    assert shingles.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_the_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["a", *words[1:60], "b", *words[61:130], "c", *words[131:199], "d"]))], "doc_id bigint, text string")
+    assert (simhash.fingerprint(df.first().text.encode()) ^ simhash.fingerprint(df.collect()[1].text.encode())).bit_count() > 2
+    assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()] == [1]
+
+
 def test_components_of_a_path(spark):
     n = 60
     links = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (101, 100), (100, 100), (None, 3)], "a bigint, b bigint")

@@ -162,6 +162,21 @@ def test_recordings(spark):
     assert chroma.recording_report(df.limit(0)).collect() == []
 
 
+def test_a_shared_passage_is_enough(spark):
+    """Turns with fifteen words in common at different places and nothing around them."""
+    word = lambda r, n: [f"v{r.randrange(900)}" for _ in range(n)]
+    r = random.Random(9)
+    same = word(r, 15)
+    one, two = [*word(r, 20), *same, *word(r, 25)], [*word(r, 35), *same, *word(r, 10)]
+    a, b = (chroma.fingerprint(chroma.decode_tones(" ".join(x).encode())) for x in (one, two))
+    offset, overlap, errors = chroma.align(a, b)
+    whole, over = chroma.bit_errors(a, b, offset)
+    assert over > 32 * chroma.MOST_ERRORS * whole and errors <= 32 * chroma.MOST_ERRORS * overlap and overlap >= chroma.LEAST_OVERLAP
+    df = spark.createDataFrame([(0, 0, "user", " ".join(one)), (1, 0, "user", " ".join(two))], "conv_id bigint, turn bigint, role string, text string")
+    found = [x for x in chroma.recording_report(df).collect() if x.kind == "match"]
+    assert [(x.media_id, x.class_id, x.offset, x.overlap, x.bit_errors) for x in found] == [(0, 1000, offset, overlap, errors)]
+
+
 # -- pages
 
 

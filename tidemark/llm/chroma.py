@@ -7,8 +7,9 @@ log ratio is cut into four levels, and their Gray codes make one 32-bit integer
 
 Alignment. Recordings with one fingerprint are one class. Queries (a stated set) are searched among all classes: runs of GRAM
 integers are hashed, and of each SPAN consecutive hashes the least is kept, so two recordings that share GRAM + SPAN - 1
-integers in a row share a kept hash. Classes meet by hash; each pair's histogram of offsets is an aggregation, its
-highest bin is the alignment, and the bit errors over the whole overlap at that offset decide. Runs of one repeated integer (silence, a held
+integers in a row share a kept hash. Classes meet by hash; each pair's histogram of offsets is an aggregation. At every offset of the histogram
+the passage of LEAST_OVERLAP integers or more that lies furthest below the bit errors allowed is found, and the best passage is the alignment:
+recordings that share a passage match whatever is around it. Runs of one repeated integer (silence, a held
 tone) have no position and give no hash.
 
 Nulls: null or undecodable media, and media shorter than one window, have an empty fingerprint (0 frames, a class of their own) and align with nothing. Null
@@ -33,7 +34,7 @@ RATE, FRAME, HOP = 4000, 512, 256
 WIDTH = 12
 #: Integers of a hashed run, and hashes of which the least is kept.
 GRAM, SPAN = 3, 6
-#: Aligned recordings overlap by this many integers at least and differ in this share of bits at most.
+#: The aligned passage has this many integers at least and differs in this share of bits at most.
 LEAST_OVERLAP, MOST_ERRORS = 8, 0.25
 
 
@@ -172,15 +173,33 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return stop - start, int(np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).sum())
 
 
+def passage(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int] | None:
+    """(integers, bits that differ) of the passage of LEAST_OVERLAP integers or more with the fewest bit errors against those
+    allowed, with b[i] against a[i + offset]; None if the overlap is shorter."""
+    start, stop = max(0, -offset), min(len(b), len(a) - offset)
+    if stop - start < LEAST_OVERLAP:
+        return None
+    errors = np.concatenate([[0], np.cumsum(np.bitwise_count(a[start + offset : stop + offset] ^ b[start:stop]).astype(np.int64))])
+    left = 32 * MOST_ERRORS * np.arange(len(errors)) - errors  # errors allowed and not made
+    least = np.minimum.accumulate(left)[: len(left) - LEAST_OVERLAP]
+    end = int((left[LEAST_OVERLAP:] - least).argmax()) + LEAST_OVERLAP
+    begin = int(left[: end - LEAST_OVERLAP + 1].argmin())
+    return end - begin, int(errors[end] - errors[begin])
+
+
+def best_passage(a: np.ndarray, b: np.ndarray, bins: dict[int, int]) -> tuple[int, int, int] | None:
+    """(offset, integers, bit errors) of the best passage over all offsets of a histogram; of equal ones that with the most hits."""
+    found = [(o, *p) for o in bins if (p := passage(a, b, o))]
+    return min(found, key=lambda x: (x[2] - 32 * MOST_ERRORS * x[1], -bins[x[0]], abs(x[0]), x[0]), default=None)
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
-    """(offset, overlap, bit errors) of two fingerprints at the highest bin of their offset histogram; None without one."""
+    """(offset, integers, bit errors) of the best passage of two fingerprints; None without one."""
+    from collections import Counter
+
     ha, pa_ = run_hashes(a)
     hb, pb = run_hashes(b)
-    found = [int(x - y) for h, y in zip(hb.tolist(), pb.tolist(), strict=True) for x in pa_[ha == h].tolist()]
-    if not found:
-        return None
-    offset = min(set(found), key=lambda o: (-found.count(o), abs(o), o))
-    return (offset, *bit_errors(a, b, offset))
+    return best_passage(a, b, Counter(int(x - y) for h, y in zip(hb.tolist(), pb.tolist(), strict=True) for x in pa_[ha == h].tolist()))
 
 
 def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable[[bytes], np.ndarray] = decode_wav) -> DataFrame:
@@ -209,15 +228,21 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o) for o, a, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], ["query_class", "class_id", "offset", "hits", "overlap", "bit_errors"])
+        rows = []
+        for query, name, bins, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            hits = {x["offset"]: x["hits"] for x in bins}
+            got = best_passage(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), hits)
+            if got:
+                rows.append((query, name, got[0], hits[got[0]], got[1], got[2]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], ["query_class", "class_id", "offset", "hits", "overlap", "bit_errors"])
 
 
 def search(known: DataFrame, is_query: Column) -> DataFrame:
     """Aligns the classes of the query recordings with all classes of ``known`` (media_id, n_frames, fingerprint).
 
     Rows of kind ``member`` give each recording's class (its least media_id); rows of kind ``match`` give, for a query class
-    as media_id and another class as class_id, offset (positive: the class begins later in the query), overlap, bit_errors and hits.
+    as media_id and another class as class_id, offset (positive: the class begins later in the query), and overlap, bit_errors and hits
+    of the best passage.
     """
     known = known.withColumn("__q", F.coalesce(is_query, F.lit(False)))
     classes = known.where("n_frames > 0").groupBy("fingerprint").agg(F.min("media_id").alias("class_id"), F.max("__q").alias("q"))
@@ -226,11 +251,10 @@ def search(known: DataFrame, is_query: Column) -> DataFrame:
     queries = postings.join(classes.where("q").select("class_id"), "class_id", "left_semi").select(F.col("class_id").alias("query_class"), "hash", F.col("at").alias("query_at"))
     met = queries.join(postings, "hash").where("query_class <> class_id")
     bins = met.groupBy("query_class", "class_id", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = bins.groupBy("query_class", "class_id").agg(F.max(F.struct("hits", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("o"))).alias("b"))
-    best = best.select("query_class", "class_id", (-F.col("b.o")).alias("offset"), F.col("b.hits").alias("hits"))
+    best = bins.groupBy("query_class", "class_id").agg(F.collect_list(F.struct("offset", "hits")).alias("bins"))
     a = classes.select(F.col("class_id").alias("query_class"), F.col("fingerprint").alias("a"))
     b = classes.select("class_id", F.col("fingerprint").alias("b"))
-    pairs = best.join(a, "query_class").join(b, "class_id").select("query_class", "class_id", "offset", "hits", "a", "b")
+    pairs = best.join(a, "query_class").join(b, "class_id").select("query_class", "class_id", "bins", "a", "b")
     found = pairs.mapInArrow(_verified, "query_class bigint, class_id bigint, offset bigint, hits bigint, overlap bigint, bit_errors bigint")
     found = found.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("bit_errors") <= F.lit(32 * MOST_ERRORS) * F.col("overlap")))
     none = F.lit(None).cast("bigint")

@@ -257,6 +257,15 @@ def test_a_large_host_is_split(spark):
     assert {r.text for r in got.collect()} == {f"page {k}" for k in range(120)}
 
 
+def test_copies_and_phrases_stay():
+    """Copies under different ids do not cover each other, and a common phrase in running text is no boilerplate."""
+    copy = "<p>one and the same long story told again and again</p>"
+    assert page_text.main_texts([(k, copy) for k in range(4)]) == ["one and the same long story told again and again"] * 4
+    phrase = lambda k: "at the end of the day" if k < 4 else f"e{k}"
+    pages = [(k, f"<p>a{k} b{k} {phrase(k)} c{k} d{k}</p><p>all of the rights are reserved</p>") for k in range(60)]
+    assert page_text.main_texts(pages) == [f"a{k} b{k} {phrase(k)} c{k} d{k}" for k in range(60)]
+
+
 # -- the pipeline
 
 

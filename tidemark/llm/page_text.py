@@ -4,8 +4,8 @@ A page becomes blocks in page order. Markup settles some of them: blocks in an a
 menus, footers, side columns, forms and elements whose class, id or role names an advert, notice, comments and the like go. The
 rest is settled by the host: the words of all unsettled blocks and of those that go, of up to about GROUP pages
 of a host, are concatenated, with a mark of its own after each page, and sorted as a suffix array. Runs of ``least_words`` words
-or more that stand on ``least_pages`` distinct pages are boilerplate: words they cover are removed, and what remains of an
-unsettled block, its unique runs, is kept, unless the page has an article, which is then all of its main text.
+or more that stand on ``least_pages`` distinct pages are boilerplate: blocks they cover go, of other blocks the covered runs of
+INNER_WORDS or more and those on a tenth of the pages, and what remains of an unsettled block, its unique runs, is kept, unless the page has an article, which is then all of its main text.
 
 Words inside an article are no evidence against it: copies and quoted passages of articles on one host stay whole.
 
@@ -13,7 +13,7 @@ A host with more pages than GROUP is split by a hash of the page's url and id in
 with its own suffix array, so no task gets a whole large host.
 
 Nulls: null html is empty, with empty text. A null url has the empty host. Null ids are kept. Repeated pages are pages of their own, but
-copies of one page by id count as one page for repetition. An empty table gives an empty result. Other columns are kept by ``extract_text``;
+copies of one page, by id or by html, count as one page for repetition. An empty table gives an empty result. Other columns are kept by ``extract_text``;
 a column named like the result's is replaced.
 """
 
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Pages of a host whose words share a suffix array; words of a repeated run; distinct pages that it stands on.
 GROUP, LEAST_WORDS, LEAST_PAGES = 256, 5, 3
+#: A repeated run that is not a whole block goes if it has so many words, or stands on one of so many pages of the group at least.
+INNER_WORDS, INNER_SHARE = 12, 10
 #: Pages of a task, about.
 TASK_PAGES = 2048
 #: Hosts over GROUP pages up to this number are broadcast (under 100 bytes each); more are joined by a shuffle.
@@ -141,8 +143,9 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
             return order
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES) -> np.ndarray:
-    """Which tokens lie in a run of ``least_words`` tokens or more that stands on ``least_pages`` distinct pages.
+def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES, body: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens lie in a run of ``least_words`` tokens or more that stands on ``least_pages`` distinct pages, and on as many
+    distinct bodies if these are given.
 
     Neighbours in the suffix array that agree in their first tokens are the occurrences of one run.
     """
@@ -156,9 +159,11 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORD
     for k in range(least_words):
         same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
     group = np.concatenate([[0], np.cumsum(~same)])
-    pairs = np.unique(group * (int(page.max()) + 1) + page[order])
-    pages = np.bincount(pairs // (int(page.max()) + 1), minlength=group[-1] + 1)
-    starts = order[pages[group] >= least_pages]
+    often = np.ones(len(order), bool)
+    for name in (page, body) if body is not None else (page,):
+        pairs = np.unique(group * (int(name.max()) + 1) + name[order])
+        often &= np.bincount(pairs // (int(name.max()) + 1), minlength=group[-1] + 1)[group] >= least_pages
+    starts = order[often]
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + least_words, -1)
@@ -182,17 +187,23 @@ def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS,
     """Main text of each (page key, html) of one group; keys tell distinct pages apart."""
     blocks = [blocks_of(x) for _, x in pages]
     keys = {k: n for n, k in enumerate(dict.fromkeys(k for k, _ in pages))}
+    bodies = {x: n for n, x in enumerate(dict.fromkeys(x for _, x in pages))}
     number: dict[str, int] = {}
-    stream, owner = [], []
-    for n, ((key, _), own) in enumerate(zip(pages, blocks, strict=True)):
+    stream, owner, body = [], [], []
+    for n, ((key, source), own) in enumerate(zip(pages, blocks, strict=True)):
         for state, text in own:
             if state != STAYS:
                 words = [number.setdefault(w, len(number)) for w in text.split()]
                 stream += words
                 owner += [keys[key]] * len(words)
+                body += [bodies[source]] * len(words)
         stream.append(-1 - n)
         owner.append(keys[key])
-    covered = repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, least_pages) if stream else np.zeros(0, bool)
+        body.append(bodies[source])
+    covered = repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, least_pages, np.array(body, np.int64)) if stream else np.zeros(0, bool)
+    # A phrase on a few of many pages is no boilerplate in running text.
+    share = -(-min(len(keys), len(bodies)) // INNER_SHARE)
+    common = repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, share, np.array(body, np.int64)) if share > least_pages else covered
     out, at = [], 0
     for own in blocks:
         has_main = any(state == STAYS for state, _ in own)
@@ -202,7 +213,9 @@ def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS,
                 kept.append(text)
                 continue
             words = text.split()
-            gone = inner_runs(covered[at : at + len(words)], least_words)
+            gone = covered[at : at + len(words)]
+            if not gone.all():
+                gone = inner_runs(gone, max(least_words, INNER_WORDS)) | inner_runs(common[at : at + len(words)], least_words)
             at += len(words)
             if state == OPEN and not has_main and not gone.all():
                 kept.append(" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))

@@ -266,6 +266,14 @@ def test_copies_and_phrases_stay():
     assert page_text.main_texts(pages) == [f"a{k} b{k} {phrase(k)} c{k} d{k}" for k in range(60)]
 
 
+def test_runs_are_counted_over_the_whole_host(spark):
+    """A block on a few pages of a large host goes on all of them, whatever groups they fall into."""
+    rare = lambda k: "<p>only some of our pages say this</p>" if k % 40 == 0 else ""
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", f"<p>page {k}</p>{rare(k)}") for k in range(200)], "page_id bigint, url string, html string")
+    for group in (20, 256):
+        assert {r.page_id: r.text for r in page_text.extract_text(df, group=group).collect()} == {k: f"page {k}" for k in range(200)}
+
+
 # -- the pipeline
 
 

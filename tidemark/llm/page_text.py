@@ -9,8 +9,9 @@ INNER_WORDS or more and those on a tenth of the pages, and what remains of an un
 
 Words inside an article are no evidence against it: copies and quoted passages of articles on one host stay whole.
 
-A host with more pages than GROUP is split by a hash of the page's url and id into groups of about that size, each
-with its own suffix array, so no task gets a whole large host.
+A host with more pages than GROUP is split by a hash of the page's url and id into groups of about that size, so no task gets a
+whole large host. Its runs are counted over the whole host first: every page gives its distinct runs of ``least_words`` words as
+hashes, the distinct pages of each are an aggregation, and each group gets those of its runs that are repeated on the host.
 
 Nulls: null html is empty, with empty text. A null url has the empty host. Null ids are kept. Repeated pages are pages of their own, but
 copies of one page, by id or by html, count as one page for repetition. An empty table gives an empty result. Other columns are kept by ``extract_text``;
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.frames import staged
+
 #: Pages of a host whose words share a suffix array; words of a repeated run; distinct pages that it stands on.
 GROUP, LEAST_WORDS, LEAST_PAGES = 256, 5, 3
 #: A repeated run that is not a whole block goes if it has so many words, or stands on one of so many pages of the group at least.
@@ -183,13 +186,32 @@ def inner_runs(covered: np.ndarray, least_words: int) -> np.ndarray:
     return out
 
 
-def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES) -> list[str]:
-    """Main text of each (page key, html) of one group; keys tell distinct pages apart."""
+def run_hashes(words: list[str], least_words: int = LEAST_WORDS) -> np.ndarray:
+    """A hash of each run of ``least_words`` words, by where it begins."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + least_words])) for k in range(len(words) - least_words + 1)], np.uint64).view(np.int64)
+
+
+def known_runs(words: list[str], runs: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
+    """Which words lie in one of the ``runs`` (hashes)."""
+    change = np.zeros(len(words) + 1, np.int64)
+    starts = np.flatnonzero(np.isin(run_hashes(words, least_words), runs))
+    change[starts] += 1
+    change[starts + least_words] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """Main text of each (page key, html) of one group; keys tell distinct pages apart. ``known``: hashes of the runs that are
+    repeated on the host, and of those on its share of pages, where the group is a part of the host."""
     blocks = [blocks_of(x) for _, x in pages]
     keys = {k: n for n, k in enumerate(dict.fromkeys(k for k, _ in pages))}
     bodies = {x: n for n, x in enumerate(dict.fromkeys(x for _, x in pages))}
     number: dict[str, int] = {}
     stream, owner, body = [], [], []
+    long: list[np.ndarray] = []
+    short: list[np.ndarray] = []
     for n, ((key, source), own) in enumerate(zip(pages, blocks, strict=True)):
         for state, text in own:
             if state != STAYS:
@@ -197,13 +219,18 @@ def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS,
                 stream += words
                 owner += [keys[key]] * len(words)
                 body += [bodies[source]] * len(words)
+        if known is not None:
+            words = [w for state, text in own if state != STAYS for w in text.split()]
+            long += [known_runs(words, known[0], least_words), np.zeros(1, bool)]
+            short += [known_runs(words, known[1], least_words), np.zeros(1, bool)]
+            continue
         stream.append(-1 - n)
         owner.append(keys[key])
         body.append(bodies[source])
-    covered = repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, least_pages, np.array(body, np.int64)) if stream else np.zeros(0, bool)
+    covered = np.concatenate(long) if long else repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, least_pages, np.array(body, np.int64)) if stream else np.zeros(0, bool)
     # A phrase on a few of many pages is no boilerplate in running text.
     share = -(-min(len(keys), len(bodies)) // INNER_SHARE)
-    common = repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, share, np.array(body, np.int64)) if share > least_pages else covered
+    common = np.concatenate(short) if short else repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, share, np.array(body, np.int64)) if share > least_pages else covered
     out, at = [], 0
     for own in blocks:
         has_main = any(state == STAYS for state, _ in own)
@@ -224,6 +251,30 @@ def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS,
     return out
 
 
+def repeated_runs(pages: DataFrame) -> DataFrame:
+    """For each part of a large host (__host, __part): __runs, hashes of its runs that stand on LEAST_PAGES distinct pages of
+    the host, and __common, those on a tenth of them. ``pages``: __host, __part, __id, __html."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, runs = [], []
+            for n, source in enumerate(batch.column(4).to_pylist()):
+                words = [w for state, text in blocks_of(source or "") if state != STAYS for w in text.split()]
+                runs.append(np.unique(run_hashes(words)))
+                rows.append(np.full(len(runs[-1]), n))
+            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(x.take(take) for x in batch.columns[:4]), pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64))], ["__host", "__part", "id", "body", "run"])
+
+    pages = pages.select("__host", "__part", F.xxhash64("__id").alias("id"), F.xxhash64(F.coalesce("__html", F.lit(""))).alias("body"), "__html")
+    found = staged(pages.mapInArrow(work, "__host string, __part bigint, id bigint, body bigint, run bigint"), "page-runs")
+    distinct = lambda x: F.least(F.countDistinct("id"), F.countDistinct("body")).alias(x)
+    sizes = pages.groupBy("__host").agg(distinct("all"))
+    often = found.groupBy("__host", "run").agg(distinct("n")).where(F.col("n") >= LEAST_PAGES).join(sizes, "__host")
+    often = often.select("__host", "run", (F.col("n") * INNER_SHARE >= F.col("all")).alias("common"))
+    parts = found.select("__host", "__part", "run").distinct().join(often, ["__host", "run"])
+    return parts.groupBy("__host", "__part").agg(F.collect_list("run").alias("__runs"), F.collect_list(F.when(F.col("common"), F.col("run"))).alias("__common"))
+
+
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """``df`` without its html and with ``text`` (empty if there is none) and ``n_chars``, its code points."""
     from pyspark.sql.types import LongType, StringType, StructType
@@ -239,24 +290,35 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     keyed = rows.withColumn("__host", host)
     keyed = keyed.join(small(large), keyed["__host"] == large["__h"], "left")
     parts = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(float(group)))
-    keyed = keyed.withColumn("__part", F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), parts)).drop("__h", "__n")
+    keyed = keyed.withColumn("__part", F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), parts)).withColumn("__large", F.col("__n").isNotNull()).drop("__h", "__n")
     kept = [c for c in rows.columns if c != html_col]
     schema = StructType.fromJson(rows.select(*kept).schema.jsonValue()).add("text", StringType()).add("n_chars", LongType())
-    names = [*kept, "__id", "__html", "__host", "__part"]
-    keyed = keyed.select(*kept, F.to_json(F.struct(F.col(id_col))).alias("__id"), F.col(html_col).cast("string").alias("__html"), "__host", "__part")
+    names = [*kept, "__id", "__html", "__host", "__part", "__runs", "__common"]
+    keyed = keyed.select(*kept, F.to_json(F.struct(F.col(id_col))).alias("__id"), F.col(html_col).cast("string").alias("__html"), "__host", "__part", "__large")
+    if hosts:
+        of_host = repeated_runs(keyed.where("__large").select("__host", "__part", "__id", "__html"))
+        keyed = keyed.drop("__large").unionByName(of_host, allowMissingColumns=True).select(*names)
+    else:
+        none = F.lit(None).cast("array<bigint>")
+        keyed = keyed.withColumns({"__runs": none, "__common": none}).select(*names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last: tuple | None = None
 
         def close() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            texts = main_texts([(k, x or "") for k, x in zip(whole.column(len(kept)).to_pylist(), whole.column(len(kept) + 1).to_pylist(), strict=True)])
+            whole = pa.Table.from_batches(held).combine_chunks()
+            told, known = whole.filter(whole.column("__runs").is_valid()), None
+            if told.num_rows:
+                known = tuple(np.array(told.column(x)[0].as_py(), np.int64) for x in ("__runs", "__common"))
+                whole = whole.filter(whole.column("__runs").is_null())
+            whole = whole.combine_chunks().to_batches()[0]
+            texts = main_texts([(k, x or "") for k, x in zip(whole.column(len(kept)).to_pylist(), whole.column(len(kept) + 1).to_pylist(), strict=True)], known=known)
             held.clear()
             return pa.RecordBatch.from_arrays([*whole.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*kept, "text", "n_chars"])
 
         for batch in batches:
-            hosts, numbers = batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist()
+            hosts, numbers = batch.column(len(kept) + 2).to_pylist(), batch.column(len(kept) + 3).to_pylist()
             keys = list(zip(hosts, numbers, strict=True))
             start = 0
             for k in range(1, len(keys) + 1):

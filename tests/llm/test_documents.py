@@ -174,6 +174,21 @@ def test_damage_is_found(spark, docs):
         token_store.read_digests(spark, other).collect()
 
 
+def test_lost_and_changed_recipes_are_found(spark, docs):
+    folder = fresh_path(spark, "store-test")
+    token_store.write_store(docs, folder)
+    rows = token_store.recipe_rows(spark, folder)
+    lost = rows.where("root is not null or doc_id is null or doc_id <> 5")
+    swapped = rows.withColumn("chunk_ids", F.when(F.col("doc_id") == 5, F.transform("chunk_ids", lambda x: F.lit(b"0123456789abcdef"))).otherwise(F.col("chunk_ids")))
+    for k, changed in enumerate((lost, swapped)):
+        other = f"{folder}-{k}"
+        for part in ("packs", "manifest"):
+            spark.read.parquet(f"{folder}/{part}").write.parquet(f"{other}/{part}")
+        changed.write.parquet(f"{other}/recipes")
+        with pytest.raises(Exception, match="manifest|damaged"):
+            token_store.read_digests(spark, other).collect()
+
+
 def test_empty_store(spark, docs):
     assert token_store.store_and_read(docs.limit(0)).collect() == []
 

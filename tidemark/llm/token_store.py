@@ -16,7 +16,7 @@ Files, below one folder, all Parquet that any Spark reader opens:
 A recipe's leaf is a digest of its id, length and addresses; a shard's root is the Merkle root of its leaves in
 order, the store's root that of the shards' roots.
 
-Reading. Each chunk is checked against its address and gives its CRC-32; a document's CRC-32 is the exclusive or
+Reading. Leaves, roots and counts are recomputed from the recipes and compared with the manifest. Each chunk is checked against its address and gives its CRC-32; a document's CRC-32 is the exclusive or
 of its chunks' values, each advanced by the bytes that follow it, so no ids are shuffled again.
 
 Nulls: a null text is an empty document; a null id sorts first. Repeated rows are documents of their own, next to
@@ -217,11 +217,48 @@ def chunk_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("chunk_id binary, data binary").parquet(f"{folder}/packs").where("chunk_id is not null")
 
 
+def verify_manifest(spark: SparkSession, folder: str) -> None:
+    """Recomputes every leaf, each shard's root, docs and tokens, and the root over all; the first that differs is an error."""
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, docs, tokens, merkle = None, 0, 0, MerkleRoot()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if shard is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([merkle.root()], pa.binary())], ["shard", "docs", "tokens", "root"])
+
+        for batch in batches:
+            for at, doc, before, n, names, leaf in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if at != shard:
+                    yield from close()
+                    shard, docs, tokens, merkle = at, 0, 0, MerkleRoot()
+                if before != tokens or leaf != leaf_of(doc, n, names):
+                    raise ValueError(f"the recipe of document {doc} is damaged")
+                merkle.add(leaf)
+                docs, tokens = docs + 1, tokens + n
+        yield from close()
+
+    rows = recipe_rows(spark, folder).where("root is null").select("shard", "doc_id", "before", "n_tokens", "chunk_ids", "leaf")
+    order = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "chunk_ids")
+    got = {r.shard: (r.docs, r.tokens, bytes(r.root)) for r in order.mapInArrow(roots, "shard int, docs bigint, tokens bigint, root binary").collect()}
+    start, top, want = 0, MerkleRoot(), {}
+    for shard in sorted(got):
+        want[shard] = (got[shard][0], got[shard][1], start, got[shard][2])
+        start += got[shard][1]
+        top.add(got[shard][2])
+    want[-1] = (sum(x[0] for x in got.values()), start, 0, top.root())
+    kept = {r.shard: (r.docs, r.tokens, r.start, bytes(r.root)) for r in spark.read.parquet(f"{folder}/manifest").collect()}
+    if kept != want:
+        raise ValueError(f"the recipes differ from the manifest in shards {sorted(k for k in kept.keys() | want.keys() if kept.get(k) != want.get(k))}")
+
+
 def read_digests(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     """For each document of the store: doc_id, start, n_tokens and ids_crc32 (of its ids as 32-bit integers), from the files.
 
-    A chunk that differs from its address, and a document whose chunks don't make up its length, end the query.
+    Recipes that differ from the manifest are an error at once. A chunk that differs from its address, and a document whose chunks
+    don't make up its length, end the query.
     """
+    verify_manifest(spark, folder)
     kind = f"<u{width}"
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

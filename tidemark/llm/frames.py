@@ -6,9 +6,11 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import arrow_udf
 
 #: Arrow batches are cut into slices of about this many bytes of text before any per-document work.
 SLICE_BYTES = 4 << 20
@@ -34,16 +36,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths made since the outermost ``scratch`` began; None outside of one.
+_made: list[str] | None = None
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Staged tables made inside are deleted at its end: for work whose result is written by then."""
+    global _made
+    before, _made = _made, []
+    try:
+        yield
+    finally:
+        made, _made = _made, before
+        for path in made:
+            remove(spark, path)
 
-def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+
+def staged(df: DataFrame, name: str, folder: str | None = None, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later uses neither
     recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = folder or fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,11 +101,51 @@ def slices(batches: Iterator[pa.RecordBatch], size_by: str, most: int = SLICE_BY
             yield batch.slice(a, b - a)
 
 
+def parts(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A column of texts in consecutive parts of about ``most`` bytes."""
+    for batch in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", most):
+        yield batch.column(0)
+
+
+def text_column(work: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """A column of type ``kind`` computed in Python from a column of texts: from an iterator of texts, one array for each. Texts go to Python
+    alone and don't come back; the rows' other columns stay in the JVM."""
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return arrow_udf(each, kind)
+
+
 def arrow_map(df: DataFrame, columns: list[str], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` over the Arrow batches of the named columns of ``df``."""
     return df.select(*columns).mapInArrow(work, schema)
 
 
+def give_back() -> None:
+    """Returns memory that this worker no longer uses to the system. Workers outlive tasks, and an executor pays for all of them."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def unused(names: list[str], taken: list[str]) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to differ from all of ``taken`` (in any case)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def single_threaded() -> None:
     """Keeps libraries in Python workers from starting threads of their own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

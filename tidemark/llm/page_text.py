@@ -1,21 +1,22 @@
-"""Operator 10: the main text of web pages, by markup and a suffix array for each host.
+"""Operator 10: the main text of web pages, by markup and the repeated runs of each host.
 
 A page becomes blocks in page order. Markup settles some of them: blocks in an article or main element stay, blocks in
-menus, footers, side columns, forms and elements whose class, id or role names an advert, notice, comments and the like go. The
-rest is settled by the host: the words of all unsettled blocks and of those that go, of up to about GROUP pages
-of a host, are concatenated, with a mark of its own after each page, and sorted as a suffix array. Runs of ``least_words`` words
-or more that stand on ``least_pages`` distinct pages are boilerplate: blocks they cover go, of other blocks the covered runs of
-INNER_WORDS or more and those on a tenth of the pages, and what remains of an unsettled block, its unique runs, is kept, unless the page has an article, which is then all of its main text.
+menus, footers, side columns, forms and elements whose class, id or role names an advert, notice, comments and the like go, as does all
+outside a main element with text. All others are open, beside an article too, and are settled by the host.
 
-Words inside an article are no evidence against it: copies and quoted passages of articles on one host stay whole.
+The words of a page's open and going blocks are its stream. Sorted by their first LEAST_WORDS words, all suffixes of a host's streams
+are a suffix array, in which the occurrences of one run are neighbours. It is dealt out by that key (a hash of host and words), so that a host
+of any size is spread over all tasks: an aggregation counts the distinct pages of each run, and the runs on LEAST_PAGES or more return to the pages
+that have them. Words in such runs are covered. An open block that is covered wholly goes; of others the covered runs of INNER_WORDS or more
+go, and those on one in INNER_SHARE of the host's pages; what remains, the block's unique runs, is kept. ``repeated`` finds the same runs
+with a suffix array in memory.
 
-A host with more pages than GROUP is split by a hash of the page's url and id into groups of about that size, so no task gets a
-whole large host. Its runs are counted over the whole host first: every page gives its distinct runs of ``least_words`` words as
-hashes, the distinct pages of each are an aggregation, and each group gets those of its runs that are repeated on the host.
+Words inside an article are no evidence against it: copies and quoted passages of articles on one host stay whole.
 
 Nulls: null html is empty, with empty text. A null url has the empty host. Null ids are kept. Repeated pages are pages of their own, but
-copies of one page, by id or by html, count as one page for repetition. An empty table gives an empty result. Other columns are kept by ``extract_text``;
-a column named like the result's is replaced.
+copies, pages of a host with the same html, count as one page for repetition. An empty table gives an empty result. Elements that close themselves
+are empty; of a raw element without an end tag only the tag goes (of a title its text, of scripts and styles the rest of the page). Other
+columns are kept by ``extract_text``; a column named like the result's is replaced.
 """
 
 from __future__ import annotations
@@ -29,38 +30,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import staged
+from tidemark.llm.frames import slices, staged
 
-#: Pages of a host whose words share a suffix array; words of a repeated run; distinct pages that it stands on.
-GROUP, LEAST_WORDS, LEAST_PAGES = 256, 5, 3
-#: A repeated run that is not a whole block goes if it has so many words, or stands on one of so many pages of the group at least.
+#: Words of a repeated run; distinct pages that it stands on.
+LEAST_WORDS, LEAST_PAGES = 5, 3
+#: A repeated run that is not a whole block goes if it has so many words, or stands on one of so many pages of the host at least.
 INNER_WORDS, INNER_SHARE = 12, 10
-#: Pages of a task, about.
-TASK_PAGES = 2048
-#: Hosts over GROUP pages up to this number are broadcast (under 100 bytes each); more are joined by a shuffle.
+#: Hosts up to this number are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 # Element names and words of class, id and role attributes.
-RAW = "script|style|noscript|template|iframe|textarea|title|svg|math|object|select|canvas"
+RAW = "script|style|noscript|template|iframe|textarea|title|svg|select"
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul video audio".split())
-CONTAINERS = frozenset("article aside body center details dialog div dl fieldset figure footer form head header main menu nav ol section table tbody td tfoot th thead tr ul button label".split())
-OUTSIDE = frozenset("aside footer form head menu nav dialog button label fieldset".split())
-OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments discussion disqus replies share sharing social related recommended recommendations widget toolbar pagination pager login signup skip search contentinfo complementary".split())
+CONTAINERS = frozenset("article aside body center details dialog div dl fieldset figure footer form head header main menu nav ol section table tbody td tfoot th thead tr ul button".split())
+OUTSIDE = frozenset("aside footer form head menu nav dialog button fieldset".split())
+OUTSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments discussion disqus replies share sharing social related recommended recommendations widget widgets toolbar pagination pager login signup skip search contentinfo complementary".split())
 #: Of page headers; inside an article they name the article's own.
 HEADER_WORDS = frozenset("header masthead".split())
 #: First words of names that say what is around or missing, such as has-sidebar.
 NOT_ITSELF = frozenset("has no not with without is".split())
-MAIN = frozenset("article main".split())
+#: Last words of names that only say form or place: the word before them names the thing, as in share-buttons.
+FORM_WORDS = frozenset("area articles bar block body bottom box button buttons center column container content form group icon icons inner item items left link links list media module outer panel posts results right row section slot stories text top unit wrap wrapper zone".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<inside>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+_RAW_ENDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in RAW.split("|")}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
-#: What markup says of a block.
-GOES, OPEN, STAYS = 0, 1, 2
+#: What markup says of a block. Inside a main element, which holds all of the main text, it is WHOLE while a page is read.
+GOES, OPEN, STAYS, WHOLE = 0, 1, 2, 3
 
 
 def kind_of(tag: str, rest: str, inside_main: bool) -> int:
@@ -73,10 +74,13 @@ def kind_of(tag: str, rest: str, inside_main: bool) -> int:
                 if not words or words[0] in NOT_ITSELF:
                     continue
                 if name == "main":
-                    return STAYS
-                if not OUTSIDE_WORDS.isdisjoint(words) or not inside_main and not HEADER_WORDS.isdisjoint(words):
+                    return WHOLE
+                while len(words) > 1 and words[-1] in FORM_WORDS:
+                    words.pop()
+                # The last word names the thing: a related-work section is about work.
+                if words[-1] in OUTSIDE_WORDS or not inside_main and words[-1] in HEADER_WORDS:
                     return GOES
-    return STAYS if tag in MAIN else OPEN
+    return {"main": WHOLE, "article": STAYS}.get(tag, OPEN)
 
 
 def blocks_of(source: str) -> list[tuple[int, str]]:
@@ -85,6 +89,7 @@ def blocks_of(source: str) -> list[tuple[int, str]]:
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open containers and what holds inside
     state, at = OPEN, 0
+    unclosed: set[str] = set()  # raw elements without an end tag from here on
 
     def close() -> None:
         if parts:
@@ -93,10 +98,25 @@ def blocks_of(source: str) -> list[tuple[int, str]]:
                 found.append((state, text))
             parts.clear()
 
-    for m in _TOKEN.finditer(source):
+    while m := _TOKEN.search(source, at):
         if m.start() > at:
             parts.append(source[at : m.start()])
         at = m.end()
+        if m["raw"]:
+            raw = m["raw"].lower()
+            if m["inside"].endswith("/"):
+                continue
+            end = None if raw in unclosed else _RAW_ENDS[raw].search(source, at)
+            if end:
+                at = end.end()
+                continue
+            unclosed.add(raw)
+            if raw in ("script", "style"):
+                at = len(source)
+            elif raw == "title":
+                stop = source.find("<", at)
+                at = stop if stop >= 0 else len(source)
+            continue
         tag = m["tag"]
         if tag is None:
             continue
@@ -117,13 +137,15 @@ def blocks_of(source: str) -> list[tuple[int, str]]:
                     del stack[k:]
                     break
         elif not m["rest"].endswith("/"):
-            kind = kind_of(tag, m["rest"], state == STAYS)
+            kind = kind_of(tag, m["rest"], state >= STAYS)
             stack.append((tag, GOES if state == GOES or kind == GOES else max(state, kind)))
         state = stack[-1][1] if stack else OPEN
     if at < len(source):
         parts.append(source[at:])
     close()
-    return found
+    # A main element says of all that is outside that it is not the main text; an article says nothing of what is beside it.
+    outside = GOES if any(state == WHOLE for state, _ in found) else OPEN
+    return [(outside if state == OPEN else min(state, STAYS), text) for state, text in found]
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -146,9 +168,8 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
             return order
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES, body: np.ndarray | None = None) -> np.ndarray:
-    """Which tokens lie in a run of ``least_words`` tokens or more that stands on ``least_pages`` distinct pages, and on as many
-    distinct bodies if these are given.
+def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES) -> np.ndarray:
+    """Which tokens lie in a run of ``least_words`` tokens or more that stands on ``least_pages`` distinct pages.
 
     Neighbours in the suffix array that agree in their first tokens are the occurrences of one run.
     """
@@ -162,11 +183,9 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least_words: int = LEAST_WORD
     for k in range(least_words):
         same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
     group = np.concatenate([[0], np.cumsum(~same)])
-    often = np.ones(len(order), bool)
-    for name in (page, body) if body is not None else (page,):
-        pairs = np.unique(group * (int(name.max()) + 1) + name[order])
-        often &= np.bincount(pairs // (int(name.max()) + 1), minlength=group[-1] + 1)[group] >= least_pages
-    starts = order[often]
+    width = int(page.max()) + 1
+    pages = np.bincount(np.unique(group * width + page[order]) // width, minlength=group[-1] + 1)
+    starts = order[pages[group] >= least_pages]
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + least_words, -1)
@@ -186,152 +205,126 @@ def inner_runs(covered: np.ndarray, least_words: int) -> np.ndarray:
     return out
 
 
-def run_hashes(words: list[str], least_words: int = LEAST_WORDS) -> np.ndarray:
-    """A hash of each run of ``least_words`` words, by where it begins."""
+def run_hashes(words: list[str], host: int, least_words: int = LEAST_WORDS) -> np.ndarray:
+    """A hash of each run of ``least_words`` words and its host, by where it begins."""
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + least_words])) for k in range(len(words) - least_words + 1)], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + least_words]), host % (1 << 64)) for k in range(len(words) - least_words + 1)], np.uint64).view(np.int64)
 
 
-def known_runs(words: list[str], runs: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
+def known_runs(words: list[str], host: int, runs: np.ndarray, least_words: int = LEAST_WORDS) -> np.ndarray:
     """Which words lie in one of the ``runs`` (hashes)."""
     change = np.zeros(len(words) + 1, np.int64)
-    starts = np.flatnonzero(np.isin(run_hashes(words, least_words), runs))
+    starts = np.flatnonzero(np.isin(run_hashes(words, host, least_words), runs))
     change[starts] += 1
     change[starts + least_words] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
-def main_texts(pages: list[tuple[object, str]], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES, known: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
-    """Main text of each (page key, html) of one group; keys tell distinct pages apart. ``known``: hashes of the runs that are
-    repeated on the host, and of those on its share of pages, where the group is a part of the host."""
-    blocks = [blocks_of(x) for _, x in pages]
-    keys = {k: n for n, k in enumerate(dict.fromkeys(k for k, _ in pages))}
-    bodies = {x: n for n, x in enumerate(dict.fromkeys(x for _, x in pages))}
-    number: dict[str, int] = {}
-    stream, owner, body = [], [], []
-    long: list[np.ndarray] = []
-    short: list[np.ndarray] = []
-    for n, ((key, source), own) in enumerate(zip(pages, blocks, strict=True)):
-        for state, text in own:
-            if state != STAYS:
-                words = [number.setdefault(w, len(number)) for w in text.split()]
-                stream += words
-                owner += [keys[key]] * len(words)
-                body += [bodies[source]] * len(words)
-        if known is not None:
-            words = [w for state, text in own if state != STAYS for w in text.split()]
-            long += [known_runs(words, known[0], least_words), np.zeros(1, bool)]
-            short += [known_runs(words, known[1], least_words), np.zeros(1, bool)]
+def kept_text(own: list[tuple[int, str]], covered: np.ndarray, common: np.ndarray) -> str:
+    """A page's text: blocks that stay, and of open blocks what is not boilerplate. ``covered`` and ``common``: of the words of its
+    stream, which lie in repeated runs and in those on a share of the host's pages."""
+    kept, at = [], 0
+    for state, text in own:
+        if state == STAYS:
+            kept.append(text)
             continue
-        stream.append(-1 - n)
-        owner.append(keys[key])
-        body.append(bodies[source])
-    covered = np.concatenate(long) if long else repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, least_pages, np.array(body, np.int64)) if stream else np.zeros(0, bool)
-    # A phrase on a few of many pages is no boilerplate in running text.
-    share = -(-min(len(keys), len(bodies)) // INNER_SHARE)
-    common = np.concatenate(short) if short else repeated(np.array(stream, np.int64), np.array(owner, np.int64), least_words, share, np.array(body, np.int64)) if share > least_pages else covered
-    out, at = [], 0
-    for own in blocks:
-        has_main = any(state == STAYS for state, _ in own)
-        kept = []
-        for state, text in own:
-            if state == STAYS:
-                kept.append(text)
-                continue
-            words = text.split()
-            gone = covered[at : at + len(words)]
-            if not gone.all():
-                gone = inner_runs(gone, max(least_words, INNER_WORDS)) | inner_runs(common[at : at + len(words)], least_words)
-            at += len(words)
-            if state == OPEN and not has_main and not gone.all():
-                kept.append(" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
-        at += 1
-        out.append("\n".join(kept))
-    return out
+        words = text.split()
+        gone = covered[at : at + len(words)]
+        if not gone.all():
+            gone = inner_runs(gone, max(LEAST_WORDS, INNER_WORDS)) | inner_runs(common[at : at + len(words)], LEAST_WORDS)
+        at += len(words)
+        if state == OPEN and not gone.all():
+            kept.append(" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g))
+    return "\n".join(kept)
+
 
+def stream_of(own: list[tuple[int, str]]) -> list[str]:
+    """The words of a page's open and going blocks."""
+    return [w for state, text in own if state != STAYS for w in text.split()]
+
+
+def main_texts(pages: list[str], least_words: int = LEAST_WORDS, least_pages: int = LEAST_PAGES) -> list[str]:
+    """Main text of each html of one host, with a suffix array in memory."""
+    blocks = [blocks_of(x) for x in pages]
+    bodies = {x: n for n, x in enumerate(dict.fromkeys(pages))}
+    number: dict[str, int] = {}
+    stream, owner, starts = [], [], []
+    for n, (source, own) in enumerate(zip(pages, blocks, strict=True)):
+        starts.append(len(stream))
+        stream += [number.setdefault(w, len(number)) for w in stream_of(own)] + [-1 - n]  # each page ends in a mark of its own
+        owner += [bodies[source]] * (len(stream) - len(owner))
+    ids, of = np.array(stream, np.int64), np.array(owner, np.int64)
+    covered = repeated(ids, of, least_words, least_pages)
+    common = repeated(ids, of, least_words, max(least_pages, -(-len(bodies) // INNER_SHARE)))
+    return [kept_text(own, covered[a:], common[a:]) for own, a in zip(blocks, starts, strict=True)]
 
-def repeated_runs(pages: DataFrame) -> DataFrame:
-    """For each part of a large host (__host, __part): __runs, hashes of its runs that stand on LEAST_PAGES distinct pages of
-    the host, and __common, those on a tenth of them. ``pages``: __host, __part, __id, __html."""
+
+def page_runs(parsed: DataFrame) -> DataFrame:
+    """(run, host, body) of each distinct page: hashes of a run of LEAST_WORDS words of its stream with the host, of the host and of the page.
+    ``parsed``: __host, __body, __loose."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, runs = [], []
-            for n, source in enumerate(batch.column(4).to_pylist()):
-                words = [w for state, text in blocks_of(source or "") if state != STAYS for w in text.split()]
-                runs.append(np.unique(run_hashes(words)))
-                rows.append(np.full(len(runs[-1]), n))
-            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(x.take(take) for x in batch.columns[:4]), pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64))], ["__host", "__part", "id", "body", "run"])
-
-    pages = pages.select("__host", "__part", F.xxhash64("__id").alias("id"), F.xxhash64(F.coalesce("__html", F.lit(""))).alias("body"), "__html")
-    found = staged(pages.mapInArrow(work, "__host string, __part bigint, id bigint, body bigint, run bigint"), "page-runs")
-    distinct = lambda x: F.least(F.countDistinct("id"), F.countDistinct("body")).alias(x)
-    sizes = pages.groupBy("__host").agg(distinct("all"))
-    often = found.groupBy("__host", "run").agg(distinct("n")).where(F.col("n") >= LEAST_PAGES).join(sizes, "__host")
-    often = often.select("__host", "run", (F.col("n") * INNER_SHARE >= F.col("all")).alias("common"))
-    parts = found.select("__host", "__part", "run").distinct().join(often, ["__host", "run"])
-    return parts.groupBy("__host", "__part").agg(F.collect_list("run").alias("__runs"), F.collect_list(F.when(F.col("common"), F.col("run"))).alias("__common"))
-
-
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            runs = [np.unique(run_hashes((x or "").split("\n"), host)) for x, host in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), strict=True)]
+            take = pa.array(np.repeat(np.arange(len(runs)), [len(x) for x in runs]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), batch.column(0).take(take), batch.column(1).take(take)], ["run", "host", "body"])
+
+    return parsed.select("__host", "__body", "__loose").mapInArrow(work, "run bigint, host bigint, body bigint")
+
+
+def repeated_runs(parsed: DataFrame) -> DataFrame:
+    """For each page that has open blocks (__body): __runs, hashes of its runs on LEAST_PAGES distinct pages of its host, and
+    __common, those on one in INNER_SHARE of them. ``parsed``: __host, __body, __loose and __open."""
+    found = staged(page_runs(parsed).distinct(), "page-runs")
+    often = found.groupBy("run", "host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    sizes = parsed.select("__host", "__body").distinct().groupBy("__host").agg(F.count("*").alias("all"))
+    sizes = staged(sizes, "host-pages")
+    small = F.broadcast if sizes.count() <= BROADCAST_HOSTS else (lambda x: x)
+    often = often.join(small(sizes), F.col("host") == F.col("__host")).select("run", (F.col("n") * INNER_SHARE >= F.col("all")).alias("common"))
+    needed = parsed.where("__open").select(F.col("__body").alias("body")).distinct()
+    told = found.join(needed, "body", "left_semi").join(often, "run")
+    return told.groupBy(F.col("body").alias("__body")).agg(F.collect_list("run").alias("__runs"), F.collect_list(F.when(F.col("common"), F.col("run"))).alias("__common"))
+
+
+def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``df`` without its html and with ``text`` (empty if there is none) and ``n_chars``, its code points."""
-    from pyspark.sql.types import LongType, StringType, StructType
+    from pyspark.sql.types import BooleanType, StringType, StructType
 
     rows = df.drop(*({"text", "n_chars"} - {id_col, url_col, html_col}))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    sizes = df.groupBy(host.alias("__h")).agg(F.count("*").alias("__n"))
-    large = sizes.where(F.col("__n") > group)
-    pages, hosts = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0)), F.count_if(F.col("__n") > group)).first()
-    small = F.broadcast if hosts <= BROADCAST_HOSTS else (lambda x: x)
-    # Partitions follow the number of pages, so that a task's share does not grow with the table.
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(pages) // TASK_PAGES))
-    keyed = rows.withColumn("__host", host)
-    keyed = keyed.join(small(large), keyed["__host"] == large["__h"], "left")
-    parts = F.ceil(F.coalesce("__n", F.lit(1)) / F.lit(float(group)))
-    keyed = keyed.withColumn("__part", F.pmod(F.xxhash64(F.col(id_col), F.col(url_col)), parts)).withColumn("__large", F.col("__n").isNotNull()).drop("__h", "__n")
     kept = [c for c in rows.columns if c != html_col]
-    schema = StructType.fromJson(rows.select(*kept).schema.jsonValue()).add("text", StringType()).add("n_chars", LongType())
-    names = [*kept, "__id", "__html", "__host", "__part", "__runs", "__common"]
-    keyed = keyed.select(*kept, F.to_json(F.struct(F.col(id_col))).alias("__id"), F.col(html_col).cast("string").alias("__html"), "__host", "__part", "__large")
-    if hosts:
-        of_host = repeated_runs(keyed.where("__large").select("__host", "__part", "__id", "__html"))
-        keyed = keyed.drop("__large").unionByName(of_host, allowMissingColumns=True).select(*names)
-    else:
-        none = F.lit(None).cast("array<bigint>")
-        keyed = keyed.withColumns({"__runs": none, "__common": none}).select(*names)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last: tuple | None = None
-
-        def close() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            told, known = whole.filter(whole.column("__runs").is_valid()), None
-            if told.num_rows:
-                known = tuple(np.array(told.column(x)[0].as_py(), np.int64) for x in ("__runs", "__common"))
-                whole = whole.filter(whole.column("__runs").is_null())
-            whole = whole.combine_chunks().to_batches()[0]
-            texts = main_texts([(k, x or "") for k, x in zip(whole.column(len(kept)).to_pylist(), whole.column(len(kept) + 1).to_pylist(), strict=True)], known=known)
-            held.clear()
-            return pa.RecordBatch.from_arrays([*whole.columns[: len(kept)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*kept, "text", "n_chars"])
-
-        for batch in batches:
-            hosts, numbers = batch.column(len(kept) + 2).to_pylist(), batch.column(len(kept) + 3).to_pylist()
-            keys = list(zip(hosts, numbers, strict=True))
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[start]:
-                    if keys[start] != last and held:
-                        yield close()
-                    last = keys[start]
-                    held.append(batch.slice(start, k - start))
-                    start = k
-        if held:
-            yield close()
-
-    return keyed.repartition(tasks, "__host", "__part").sortWithinPartitions("__host", "__part").mapInArrow(work, schema)
+    name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    source = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    rows = rows.select(F.struct(*kept).alias("__row"), F.xxhash64(name).alias("__host"), F.xxhash64(name, source).alias("__body"), source.alias("__html"))
+    schema = StructType.fromJson(rows.drop("__html").schema.jsonValue()).add("__open", BooleanType()).add("__loose", StringType()).add("__text", StringType())
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__html"):
+            found = [blocks_of(x) for x in batch.column(3).to_pylist()]
+            is_open = [any(state == OPEN for state, _ in own) for own in found]
+            loose = ["\n".join(stream_of(own)) for own in found]
+            # A page with open blocks keeps them all until the host has settled them: a mark for each block's kind, then its text.
+            text = ["\n".join(f"{state}{t}" if o else t for state, t in own if o or state == STAYS) for own, o in zip(found, is_open, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(is_open, pa.bool_()), pa.array(loose, pa.string()), pa.array(text, pa.string())], schema.names)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__text"):
+            texts = []
+            for host, text, runs, common in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
+                own = [(int(x[0]), x[1:]) for x in text.split("\n")]
+                words = stream_of(own)
+                texts.append(kept_text(own, *(known_runs(words, host, np.array(x or [], np.int64)) for x in (runs, common))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["__row", "__text"])
+
+    parsed = staged(rows.mapInArrow(parse, schema), "parsed-pages", compression="zstd")
+    settled = parsed.where("not __open").select("__row", "__text")
+    told = repeated_runs(parsed)
+    unsettled = parsed.where("__open").select("__row", "__host", "__text", "__body").join(told, "__body", "left")
+    unsettled = unsettled.select("__row", "__host", "__text", "__runs", "__common").mapInArrow(settle, settled.schema)
+    out = settled.union(unsettled)
+    return out.select("__row.*", F.col("__text").alias("text"), F.char_length("__text").cast("bigint").alias("n_chars"))
 
 
 def page_report(df: DataFrame) -> DataFrame:

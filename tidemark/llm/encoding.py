@@ -13,6 +13,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -21,8 +22,8 @@ import pyarrow.compute as pc
 
 #: Id appended to every document.
 END_ID = 2
-#: Words kept by one worker before its table starts anew. It bounds memory; ids do not depend on it.
-MAX_WORDS = 500_000
+#: Words and pieces kept by one task before their tables start anew. They bound memory; ids do not depend on them.
+MAX_WORDS, MAX_PIECES = 100_000, 400_000
 
 # Fixed values of the word-end vocabulary's file: its pre-token pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -42,7 +43,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of white-space-separated words; one object serves all tasks of a worker."""
+    """Ids of white-space-separated words. One object serves all tasks of a worker, one after the other (``lent``)."""
 
     _kept: dict[str, "WordEncoder"] = {}
 
@@ -52,7 +53,7 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS) -> None:
+    def __init__(self, path: str, max_words: int = MAX_WORDS, max_pieces: int = MAX_PIECES) -> None:
         from tokenizers import Tokenizer
 
         from tidemark.llm.frames import single_threaded
@@ -72,10 +73,24 @@ class WordEncoder:
         self.odd = re.compile("[^\n\x21-\x3B\x3D-\x7E\u00c0-\u012f\u0132-\u017e]")
         self.alphabet = byte_alphabet()
         del self.alphabet[10]  # line feeds separate the pieces while their bytes are mapped
-        self.max_words = max_words
+        self.max_words, self.max_pieces = max_words, max_pieces
         self.clear()
         self._forget_pieces()
 
+    @classmethod
+    @contextmanager
+    def lent(cls, path: str) -> Iterator["WordEncoder"]:
+        """The worker's encoder for one task. Its tables are empty again afterwards: workers outlive tasks and stages."""
+        from tidemark.llm.frames import give_back
+
+        encoder = cls.of(path)
+        try:
+            yield encoder
+        finally:
+            encoder.clear()
+            encoder._forget_pieces()
+            give_back()
+
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
         self.pool, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -112,7 +127,7 @@ class WordEncoder:
         if not new:
             return
         found = self.pattern.findall(lines.lower())
-        if len(self.pieces) > self.max_words:
+        if len(self.pieces) > self.max_pieces:
             self._forget_pieces()
         if fresh := set(found).difference(self.pieces):
             self._learn_pieces(list(fresh))
@@ -160,10 +175,3 @@ def gathered(pool: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.nd
     np.cumsum(size, out=bounds[1:])
     source = np.repeat(first[at] - bounds[:-1], size) + np.arange(bounds[-1])
     return pool[source], bounds
-
-
-def encoded(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id, as little-endian unsigned 32-bit integers."""
-    ids, offsets = WordEncoder.of(path).encode(texts)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        yield ids[a:b].astype("<u4", copy=False)

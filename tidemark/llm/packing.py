@@ -87,20 +87,20 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Packs the texts of ``df`` into windows of ``capacity`` tokens.
 
     A row for each piece: the document's id, start (its document's tokens before it), length, ids_crc32,
-    doc_tokens, sequence_id (unique, not dense), offset (in the window), and with ``with_ids`` the ids.
+    doc_tokens, sequence_id (unique, not dense), offset (in the window), and with ``with_ids`` the ids as little-endian unsigned 32-bit integers.
     """
     path = vocabulary or encoding.default_vocabulary()
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
+    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
 
     def rows(windows: list[list[Piece]], first: int) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(7 + with_ids)]
         for k, window in enumerate(windows):
             offset = 0
             for doc, start, ids, n in window:
-                for column, value in zip(out, (doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), n, first + k, offset, *([ids.astype(np.int32)] if with_ids else [])), strict=True):
+                for column, value in zip(out, (doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()), n, first + k, offset, *([ids.astype("<u4", copy=False).tobytes()] if with_ids else [])), strict=True):
                     column.append(value)
                 offset += len(ids)
-        kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * with_ids
+        kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
         names = [x.split()[0] for x in schema.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
 
@@ -108,7 +108,11 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 36
-        packer, encoder = SumOfSquares(capacity), encoding.WordEncoder.of(path)
+        packer = SumOfSquares(capacity)
+        with encoding.WordEncoder.lent(path) as encoder:
+            yield from packed(batches, packer, encoder, sequence)
+
+    def packed(batches: Iterator[pa.RecordBatch], packer: SumOfSquares, encoder: encoding.WordEncoder, sequence: int) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             ids, offsets = encoder.encode(batch.column(1))
             windows = []

@@ -8,32 +8,35 @@ Scoring folds the landmarks: K(x, L) A = |x|^(-1/2) P(x) (L' A), with P(x) the p
 texts is one sparse product of presence rows and the n-gram x language matrix L' A, so each whole text is read once
 whatever the number of landmarks.
 
-N-grams run over letters alone: letters are lower-cased, the commonest 62 of the training texts have codes of their own, other
-letters share one, and any run of other characters is one space, which counts only beside a letter. With 64 codes the n-grams number 64 + 64^2 + 64^3,
-and presence is exact, without hashing.
+N-grams run over letters alone: letters are lower-cased, each letter of the training texts has a code of its own, letters that
+are in none share one, and any run of other characters is one space, which counts only beside a letter. Presence is exact, without hashing.
 
-Training takes about ``per_language`` documents of each language by a hash of the id, from rows with a language, outside the
-held-out fold. At most ``max_languages`` languages are accepted; more are an error, never dropped.
+Training takes about ``per_language`` documents of each language by a hash of the id, and ``max_rows`` in all, from rows with a language, outside the
+held-out fold; texts with more than MAX_GRAMS distinct n-grams are not learned from. Only n-gram sets reach the driver. At most ``max_languages``
+languages are accepted; more are an error, never dropped.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0. Rows with a null language are not learned from. A null
 id has fold 0 (crc32 of the empty text) and is held out. Repeated rows are scored each. An empty table, or one without any usable
-label, gives ``und`` with score 0 for all.
+label, gives ``und`` with score 0 for all. Other columns, whatever their names, are kept by ``keep_known``.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import slices
+from tidemark.llm.frames import as_bytes, parts, slices, staged, text_column
 
-CODES = 64
-GRAMS = CODES + CODES**2 + CODES**3
+#: Up to so many codes, a table of all n-grams finds a text's distinct ones; with more they are sorted.
+DENSE = 64
+#: Distinct n-grams of a training text at most.
+MAX_GRAMS = 50_000
 UNKNOWN = "und"
 
 
@@ -42,54 +45,67 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def alphabet(letters: list[str]) -> np.ndarray:
-    """Code of each code point: 0 for other characters, 1 to 62 for ``letters`` in either case, 63 for other letters."""
-    table = np.zeros(0x110000, np.uint8)
-    for lo, hi in ((0x41, 0x30000), (0x30000, 0x32000)):
-        for cp in range(lo, hi):
-            if chr(cp).isalpha():
-                table[cp] = CODES - 1
-    for k, letter in enumerate(letters[: CODES - 2]):
-        for form in {letter, letter.upper(), letter.title()}:
-            if len(form) == 1:
-                table[ord(form)] = k + 1
+@functools.cache
+def is_letter() -> np.ndarray:
+    """Of each code point, whether it is a letter."""
+    table = np.zeros(0x110000, bool)
+    table[0x41:0x32000] = [chr(cp).isalpha() for cp in range(0x41, 0x32000)]
     return table
 
 
-def grams(text: bytes, table: np.ndarray, scratch: np.ndarray) -> np.ndarray:
-    """The distinct n-grams of a text, as ascending numbers. ``scratch``: GRAMS bools, False before and after."""
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    c = table[points].astype(np.int32)
-    if not c.any():
-        return np.zeros(0, np.int64)
-    keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-    c = np.concatenate([[0], c[keep], [0]])
-    two = c[:-1] * CODES + c[1:]
-    scratch[c] = True
-    scratch[0] = False  # the space alone says nothing
-    scratch[two + CODES] = True
-    scratch[two[:-1] * CODES + c[2:] + (CODES + CODES**2)] = True
-    found = np.flatnonzero(scratch)
-    scratch[found] = False
-    return found
+class Spectrum:
+    """The distinct 1- to 3-grams of texts as numbers. Codes: 0 for the space, 1 and on for ``letters``, the last for all other letters."""
+
+    def __init__(self, letters: list[str]) -> None:
+        self.codes = len(letters) + 2
+        self.table = np.where(is_letter(), self.codes - 1, 0).astype(np.int32)
+        self.table[[ord(x) for x in letters]] = np.arange(1, self.codes - 1)
+        self.size = self.codes + self.codes**2 + self.codes**3
+        self.seen = np.zeros(self.size, bool) if self.codes <= DENSE else None
+
+    def grams(self, text: bytes) -> np.ndarray:
+        """The distinct n-grams, ascending."""
+        points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
+        c = np.concatenate([[0], self.table[points], [0]])
+        if not c.any():
+            return np.zeros(0, np.int64)
+        c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+        found, n = np.zeros(0, np.int64), self.codes
+        for at in range(0, len(c) - 2, 1 << 20):  # long texts in parts
+            part = c[at : at + (1 << 20) + 2].astype(np.int64)
+            two = part[:-1] * n + part[1:]
+            three = two[:-1] * n + part[2:] + (n + n * n)
+            if self.seen is not None:
+                self.seen[part] = True
+                self.seen[two + n] = True
+                self.seen[three] = True
+            else:
+                found = np.unique(np.concatenate([found, part, two + n, three]))
+        if self.seen is not None:
+            found = np.flatnonzero(self.seen)
+            self.seen[found] = False
+        return found[1:]  # the space alone says nothing
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     letters: list[str]
-    weights: np.ndarray  # n-gram x language
+    used: np.ndarray  # n-grams of landmarks, ascending
+    weights: np.ndarray  # n-gram x language, with a last row of zeros for all others
 
-    def score(self, texts: list[bytes], table: np.ndarray, scratch: np.ndarray) -> tuple[list[str], list[float]]:
-        rows = [grams(x, table, scratch) for x in texts]
+    def score(self, texts: list[bytes], spectrum: Spectrum) -> tuple[list[str], list[float]]:
+        rows = [spectrum.grams(x) for x in texts]
         sizes = np.array([len(r) for r in rows], np.int64)
         full = np.flatnonzero(sizes)
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not len(full) or not self.languages:
             return names, scores
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-        values = np.add.reduceat(self.weights[np.concatenate([rows[k] for k in full])], starts, axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
+        found = np.concatenate([rows[k] for k in full])
+        at = np.minimum(np.searchsorted(self.used, found), len(self.used) - 1)
+        at[self.used[at] != found] = len(self.used)
+        values = np.add.reduceat(self.weights[at], starts, axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
         best = values.argmax(axis=1)
         # The regressions aim at 1 for the language and 0 for others; a text unlike all landmarks is near 0 for each.
         chance = np.clip(values[np.arange(len(full)), best], 0.0, 1.0)
@@ -98,35 +114,39 @@ class LanguageModel:
         return names, scores
 
 
+def letters_of(texts: list[bytes]) -> set[str]:
+    return {c for t in texts for c in set(t.decode("utf-8", "replace").lower()) if is_letter()[ord(c)]}
+
+
 def fit(samples: list[tuple[str, bytes]], landmarks: int = 24, ridge: float = 1e-3, jitter: float = 1e-6) -> LanguageModel:
     """A model from (language, text) pairs; ``landmarks`` of each language are the first of it."""
-    from collections import Counter
-
-    languages = sorted({x for x, _ in samples})
-    if not languages:
-        return LanguageModel([], [], np.zeros((GRAMS, 0), np.float32))
-    common: Counter = Counter()
-    for _, text in samples:
-        common.update(c for c in text.decode("utf-8", "replace").lower() if c.isalpha())
-    letters = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: CODES - 2]]
-    table, scratch = alphabet(letters), np.zeros(GRAMS, bool)
-    known = [(x, g) for x, t in samples if len(g := grams(t, table, scratch))]
+    letters = sorted(letters_of([t for _, t in samples]))
+    spectrum = Spectrum(letters)
+    return solve([(x, spectrum.grams(t)) for x, t in samples], letters, landmarks, ridge, jitter)
+
+
+def solve(samples: list[tuple[str, np.ndarray]], letters: list[str], landmarks: int = 24, ridge: float = 1e-3, jitter: float = 1e-6) -> LanguageModel:
+    """A model from (language, n-grams) pairs."""
+    known = [(x, g) for x, g in samples if len(g)]
     if not known:
-        return LanguageModel([], letters, np.zeros((GRAMS, 0), np.float32))
+        return LanguageModel([], letters, np.zeros(0, np.int64), np.zeros((1, 0), np.float32))
+    languages = sorted({x for x, _ in known})
     chosen = [g for lang in languages for g in [g for x, g in known if x == lang][:landmarks]]
     used = np.unique(np.concatenate(chosen))  # n-grams of no landmark count in no product
-    place = np.full(GRAMS, -1, np.int64)
-    place[used] = np.arange(len(used))
+
+    def place(g: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(used, g), len(used) - 1)
+        return at[used[at] == g]
+
     lm = np.zeros((len(chosen), len(used)), np.float32)
     for k, g in enumerate(chosen):
-        lm[k, place[g]] = 1 / np.sqrt(len(g))
+        lm[k, place(g)] = 1 / np.sqrt(len(g))
     kernel = np.empty((len(known), len(chosen)))
     for at in range(0, len(known), 128):
         part = known[at : at + 128]
         presence = np.zeros((len(part), len(used)), np.float32)
         for k, (_, g) in enumerate(part):
-            p = place[g]
-            presence[k, p[p >= 0]] = 1 / np.sqrt(len(g))
+            presence[k, place(g)] = 1 / np.sqrt(len(g))
         kernel[at : at + len(part)] = presence @ lm.T
     inner = (lm @ lm.T).astype(np.float64)
     e, v = np.linalg.eigh(inner + jitter * np.eye(len(inner)))
@@ -139,13 +159,13 @@ def fit(samples: list[tuple[str, bytes]], landmarks: int = 24, ridge: float = 1e
     weight = weight / weight.mean()  # each language counts alike
     gram = (features * weight[:, None]).T @ features + ridge * len(known) * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, (features * weight[:, None]).T @ target)
-    weights = np.zeros((GRAMS, len(languages)), np.float32)
-    weights[used] = lm.T.astype(np.float64) @ (root @ solved)
-    return LanguageModel(languages, letters, weights)
+    weights = np.zeros((len(used) + 1, len(languages)), np.float32)
+    weights[:-1] = lm.T.astype(np.float64) @ (root @ solved)
+    return LanguageModel(languages, letters, used, weights)
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0, per_language: int = 600, max_languages: int = 500) -> LanguageModel:
-    """Fits on about ``per_language`` documents of each language of ``df`` outside the held-out fold."""
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0, per_language: int = 600, max_languages: int = 500, max_rows: int = 12_000) -> LanguageModel:
+    """Fits on about ``per_language`` documents of each language of ``df``, ``max_rows`` in all, outside the held-out fold."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != held_out))
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
@@ -153,40 +173,54 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not counts:
         return fit([])
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 30)))])
-    sample = rows.where(place < F.element_at(share, F.col(lang_col).cast("string"))).select(F.col(lang_col).cast("string"), F.col(text_col).cast("binary"), place, id_col)
-    got = sorted(sample.collect(), key=lambda r: (r[2], str(r[3]), bytes(r[1])))
-    return fit([(r[0], bytes(r[1])) for r in got])
+    most = min(per_language, max_rows // len(counts))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, most / n) * (1 << 30)))])
+    sample = rows.where(place < F.element_at(share, F.col(lang_col).cast("string")))
+    sample = staged(sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), place.alias("place")), "language-sample")
+
+    def alphabets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(letters_of(as_bytes(batch.column(0)))), pa.string())], ["letter"])
+
+    letters = sorted(r.letter for r in sample.select("text").mapInArrow(alphabets, "letter string").distinct().collect())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spectrum = Spectrum(letters)
+        for batch in slices(batches, "text"):
+            found = [g if len(g) <= MAX_GRAMS else None for g in map(spectrum.grams, as_bytes(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([None if g is None else g.astype("<i8").tobytes() for g in found], pa.binary())], ["lang", "place", "grams"])
 
+    got = sample.select("lang", "text", "place").mapInArrow(sets, "lang string, place bigint, grams binary").where("grams is not null").limit(2 * max_rows).collect()
+    got.sort(key=lambda r: (r.place, r.lang, bytes(r.grams)))
+    return solve([(r.lang, np.frombuffer(bytes(r.grams), "<i8")) for r in got], letters)
 
-def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` with the columns lang_pred and score (with ``prefix`` before their names)."""
-    from pyspark.sql.types import StructType
 
-    schema = StructType.fromJson(df.schema.jsonValue()).add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def prediction(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
+    """A struct of lang_pred and score for each text."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        table, scratch = alphabet(model.letters), np.zeros(GRAMS, bool)
-        for batch in slices(batches, text_col):
-            texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()]
-            names, scores = model.score(texts, table, scratch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, f"{prefix}lang_pred", f"{prefix}score"])
+        spectrum = Spectrum(model.letters)
+        for batch in batches:
+            names, scores = [], []
+            for part in parts(batch):
+                for out, new in zip((names, scores), model.score(as_bytes(part), spectrum), strict=True):
+                    out += new
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return df.mapInArrow(work, schema)
+    return text_column(work, "lang_pred string, score double")(text.cast("string"))
 
 
 def language_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """A row for each document: doc_id, held_out, lang_pred, score."""
     model = train(df, id_col, text_col, lang_col)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = identify(rows, model)
-    return got.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    got = df.select(F.col(id_col).alias("doc_id"), prediction(df.sparkSession, model, F.col(text_col)).alias("got"))
+    return got.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "got.lang_pred", "got.score")
 
 
 def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.1) -> DataFrame:
     """The rows of ``df`` whose language is known with a score of ``least`` or more: texts without letters and texts like no learned language go."""
     model = train(df, id_col, text_col, lang_col)
-    got = identify(df, model, text_col, "__")
-    return got.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*df.columns)
+    got = prediction(df.sparkSession, model, F.col(text_col))
+    return df.where(F.when(got["lang_pred"] != UNKNOWN, got["score"]) >= least)

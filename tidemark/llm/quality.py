@@ -7,7 +7,7 @@ leaf), so a batch of documents walks down all levels with a few numpy gathers fo
 
 Nulls: a null text has the statistics of an empty one. Labels that are null are not learned from, nor are rows with
 a null id; repeated labels count each. A null id is not held out (crc32 of the empty text is 0). Repeated rows are scored each. Without any
-usable label every score is 0.5. An empty table gives an empty result.
+usable label every score is 0.5. An empty table gives an empty result. Other columns, whatever their names, are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import slices
+from tidemark.llm.frames import parts, slices, text_column
 from tidemark.llm.language import fold
 
 #: Labels are not learned from rows of this fold.
@@ -108,13 +108,14 @@ class Forest:
         return 1 / (1 + np.exp(-total))
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: int = 10) -> Forest:
+def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: int = 10) -> Forest:
     """Gradient boosting of ``trees`` complete trees on rows x and labels y (0 or 1)."""
     inner, leaves = (1 << depth) - 1, 1 << depth
     empty = Forest(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), 0.0)
     if not len(y):
         return empty
-    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
     base = float(np.log(share / (1 - share)))
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
@@ -122,7 +123,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
     features, thresholds, values = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         feature, threshold, split = np.zeros(inner, np.int64), np.full(inner, np.inf), np.full(inner, bins)
         node = np.zeros(len(y), np.int64)
         for level in range(depth):
@@ -168,43 +169,43 @@ def measured(df: DataFrame, columns: list[str], text_col: str) -> DataFrame:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 16_000) -> Forest:
-    """Fits on about ``max_rows`` labelled documents outside the held-out fold."""
-    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col), FOLDS) != HELD_OUT)).select(F.col(id_col).alias("__labelled"), F.col(label_col).cast("int").alias("__label"))
+    """Fits on about ``max_rows`` labelled documents outside the held-out fold (twice as many at most). A label given n times weighs n."""
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col), FOLDS) != HELD_OUT))
+    usable = usable.groupBy(F.col(id_col).alias("__labelled"), F.col(label_col).cast("int").alias("__label")).agg(F.count("*").cast("double").alias("__times"))
     n = usable.count()
     if not n:
         return grow(np.zeros((0, N_STATISTICS)), np.zeros(0))
     share = int(min(1.0, max_rows / n) * (1 << 30))
     chosen = usable.where(F.pmod(F.xxhash64("__labelled"), F.lit(1 << 30)) < share)
-    rows = df.join(F.broadcast(chosen), F.col(id_col) == F.col("__labelled"))  # about max_rows small rows
-    got = measured(rows, [id_col, "__label"], text_col).collect()
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
-    return grow(np.array([r[2] for r in got]).reshape(len(got), N_STATISTICS), np.array([r[1] for r in got], float))
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__labelled"))  # about max_rows small rows, as ids are distinct in them
+    rows = measured(rows, ["__id", "__label", "__times"], "__text")
+    # An id with many texts may not flood the driver either.
+    got = rows.orderBy(F.xxhash64("__id", "stats"), "__id", "__label", "stats").limit(2 * max_rows).collect()
+    got.sort(key=lambda r: (r[0], r[1], r[3]))
+    return grow(np.array([r[3] for r in got]).reshape(len(got), N_STATISTICS), np.array([r[1] for r in got], float), np.array([r[2] for r in got], float))
 
 
-def scored(df: DataFrame, forest: Forest, text_col: str = "text", column: str = "score") -> DataFrame:
-    """``df`` with the column ``column``, the chance that a text has label 1."""
-    from pyspark.sql.types import StructType
+def scores(spark: SparkSession, forest: Forest, text: Column) -> Column:
+    """The chance that a text has label 1."""
+    shared = spark.sparkContext.broadcast(forest)
 
-    schema = StructType.fromJson(df.schema.jsonValue()).add(column, "double")
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [shared.value.score(np.array([statistics(t or b"") for t in part.cast(pa.binary()).to_pylist()]).reshape(len(part), N_STATISTICS)) for part in parts(batch)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            x = np.array([statistics(t or b"") for t in texts]).reshape(len(texts), N_STATISTICS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], [*batch.schema.names, column])
-
-    return df.mapInArrow(work, schema)
+    return text_column(work, "double")(text.cast("string"))
 
 
 def quality_report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted."""
     forest = train(df, labels, id_col, text_col)
-    rows = scored(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), forest)
+    rows = df.select(F.col(id_col).alias("doc_id"), scores(df.sparkSession, forest, F.col(text_col)).alias("score"))
     return rows.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``df`` whose score is ``cutoff`` or more."""
     forest = train(df, labels, id_col, text_col)
-    return scored(df, forest, text_col, "__score").where(F.col("__score") >= cutoff).select(*df.columns)
+    return df.where(scores(df.sparkSession, forest, F.col(text_col)) >= cutoff)

@@ -1,7 +1,8 @@
 """Connected components of a links table, by alternating large-star and small-star steps.
 
-Each step is an aggregation with partial sums followed by a join on a unique key, so a node with very many links
-never meets in one task; every round is cut by a reliable checkpoint and only two numbers reach the driver.
+Each step is an aggregation with partial results, so a node's links are combined before they are shuffled, followed by a join with one row
+a node. There the links of a node do meet: adaptive execution splits such a partition (``spark.sql.adaptive.skewJoin``, on by default), as the
+other side is unique. Every round is cut by a reliable checkpoint and only two numbers reach the driver.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ however large. The rest of the work is one scan, joined with one row a source.
 
 Nulls: a null text has size 0; documents with a null source form a source of their own, last; a null id is ordered as an empty
 one. Rows that repeat an id and source fall on one place of the order and are taken together. Sources of size 0 have target 0.
-An empty table gives an empty result.
+An empty table gives an empty result. Other columns, whatever their names, are kept by ``mix``.
+
+The fill's windows run over one row a source in one task: fine for millions of sources, and sources are no more than that.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import WORD_PATTERN, staged
+from tidemark.llm.frames import WORD_PATTERN, staged, unused
 
 #: Weights by rank of the source, repeating; share of all sizes that the mix takes; most repetitions.
 WEIGHTS, SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-0"
@@ -150,23 +152,29 @@ def plan_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return sources.join(stops, sources["source"].eqNullSafe(stops["s"]), "left").select("source", "source_size", "target", "whole", F.when(F.col("goal") > 0, F.col("stop")).alias("stop"))
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """``df`` with __size, __source_size, __target and __times, how often the mix takes the row (0: not at all)."""
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, list[str]]:
+    """``df`` with four more columns, and their names: source_size, target, whether its key is taken once more, and how often the mix takes
+    the row (0: not at all)."""
+    names = unused(["__source_size", "__target", "__again", "__times"], df.columns)
+    size, target, more, times = names
     plan = staged(plan_mix(df, id_col, text_col, source_col, weights, share, max_epochs, seed), "mix-plan")
     small = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda x: x)
-    plan = plan.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("stop").alias("__stop"))
-    out = df.join(small(plan), df[source_col].cast("string").eqNullSafe(plan["__s"]))
-    again = F.coalesce(order_key(df[id_col], seed) <= F.col("__stop"), F.lit(False))
-    return out.withColumn("__size", word_count(df[text_col])).withColumn("__times", F.col("__whole") + again.cast("bigint")).drop("__s", "__whole", "__stop")
+    key, whole, stop = unused(["__s", "__whole", "__stop"], [*df.columns, *names])
+    plan = plan.select(F.col("source").alias(key), F.col("source_size").alias(size), F.col("target").alias(target), F.col("whole").alias(whole), F.col("stop").alias(stop))
+    out = df.join(small(plan), df[source_col].cast("string").eqNullSafe(plan[key]))
+    out = out.withColumn(more, F.coalesce(order_key(df[id_col], seed) <= F.col(stop), F.lit(False)))
+    return out.withColumn(times, F.col(whole) + F.col(more).cast("bigint")).drop(key, whole, stop), names
 
 
 def mix_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken."""
-    got = mixed(df, id_col, text_col, source_col)
-    return got.select(F.col(id_col).alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__times")).alias("taken"))
+    got, (source_size, target, _, times) = mixed(df, id_col, text_col, source_col)
+    got = got.select(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.col(source_size).alias("source_size"), F.col(target).alias("target"), F.col(times).alias("times"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed rows themselves, each as often as it is taken, with the columns of ``df``."""
-    got = mixed(df, id_col, text_col, source_col).where("__times > 0")
-    return got.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*df.columns)
+    """The mixed rows themselves, each as often as it is taken, with the columns of ``df``. Texts are not counted again."""
+    got, (_, _, _, times) = mixed(df, id_col, text_col, source_col)
+    (again,) = unused(["__n"], got.columns)
+    return got.where(F.col(times) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))).select(*df.columns)

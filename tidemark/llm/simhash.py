@@ -10,8 +10,13 @@ this leaves out are linked through that member.
 
 Copies share a fingerprint and are one node, so a group of any size costs no more than one document.
 
+Fingerprints within two bits are near copies indeed, but texts of Jaccard similarity 0.8 mostly differ in 3 to 11 bits, and balls of half of
+that are beyond any size. ``keep_one`` with ``similarity`` therefore links by the shingle sets themselves (``shingles``), exactly.
+
 Nulls: a null text has no words and fingerprint zero, as an empty one; fingerprint zero is linked like any other. A null id is
-kept, with the least non-null id of its group. Repeated rows are kept. An empty table gives an empty result.
+kept, with the least non-null id of its group. Repeated rows are kept. An empty table gives an empty result. ``keep_one`` keeps one row of each
+group, that of its least id; of rows with that id the one whose text, then whose other columns have the least hash, and repeated rows count once. Two
+texts under one id are two documents. Rows with a null id can't be named and stay. Other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import shingles
 from tidemark.llm.components import components
-from tidemark.llm.frames import as_bytes, slices, staged
+from tidemark.llm.frames import as_bytes, slices, staged, unused
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer; each emits its ball of half that radius.
@@ -51,16 +57,16 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > len(got), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint as a signed long) of each text of ``df``."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, **hashes: Column) -> DataFrame:
+    """(doc_id, fingerprint as a signed long) of each text of ``df``, with the bigint columns ``hashes`` between them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            got = np.array([fingerprint(x, words_per_shingle) for x in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "fingerprint"])
+        for batch in slices(batches, "text"):
+            got = np.array([fingerprint(x, words_per_shingle) for x in as_bytes(batch.column(0))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got)], [*batch.schema.names[1:], "fingerprint"])
 
-    named = df.select(df[id_col].cast("bigint").alias("__id"), df[text_col].cast("string").alias("__text"))
-    return named.mapInArrow(work, "doc_id bigint, fingerprint bigint")
+    named = df.select(df[text_col].cast("string").alias("text"), df[id_col].cast("bigint").alias("doc_id"), *[x.alias(k) for k, x in hashes.items()])
+    return named.mapInArrow(work, ", ".join(f"{x} bigint" for x in ("doc_id", *hashes, "fingerprint")))
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -92,9 +98,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return known.join(named, "fingerprint").select("doc_id", hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each component: that of its least doc_id, once if the row is repeated. Rows with a null id can't be
-    named and stay."""
-    kept = near_duplicates(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = df.join(kept, df[id_col] == kept["__kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(df.where(df[id_col].isNull()))
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: bool = False) -> DataFrame:
+    """One row of each group of near-duplicates: by fingerprints, or with ``similarity`` by five-word shingles of similarity 0.8 or more
+    (``shingles.SIMILARITY``)."""
+    key, row = unused(["__key", "__row"], df.columns)
+    others = [df[c] for c, kind in df.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    text_hash, row_hash = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))), F.xxhash64(*others) if others else F.lit(0).cast("bigint")
+    if similarity:
+        known = shingles.nodes(df, id_col, text_col, row_hash)
+        joined = shingles.joined_nodes(df, known, text_col)
+    else:
+        known = staged(fingerprints(df, id_col, text_col, key=text_hash, row=row_hash), "fingerprints").withColumnRenamed("fingerprint", "node")
+        joined = components(near_links(known.select(F.col("node").alias("fingerprint")).distinct()))
+    first = known.where("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key", "row")).alias("first"))
+    rooted = first.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    kept = rooted.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")
+    # Repeated rows are combined before the shuffle, and the join goes by the same keys.
+    rows = df.withColumns({key: text_hash, row: row_hash}).dropDuplicates([id_col, key, row])
+    rows = rows.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("row").alias("kept_row")), (F.col(id_col).cast("bigint") == F.col("kept_id")) & (F.col(key) == F.col("kept_key")) & (F.col(row) == F.col("kept_row")), "left_semi")
+    return rows.select(*df.columns).unionByName(df.where(df[id_col].isNull()))

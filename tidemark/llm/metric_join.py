@@ -7,7 +7,7 @@ pivot and p_c. Of two cells only the later one receives the other's vectors, so
 with more than BLOCK home vectors is split into blocks that exchange vectors the same way. Each (cell, block) joins alone: its home
 vectors are held, everything else streams past in tiles, so memory does not grow with a group.
 
-A tile is one single-precision matrix product; pairs within MARGIN of the threshold are decided in double precision. Only
+A tile is one single-precision matrix product; pairs that it leaves undecided (``margin``) are decided in double precision. Only
 counts and a spanning forest leave a block, never all pairs. Equal vectors are joined as one vector with a count.
 
 How much is sent depends on the data: clustered vectors reach few cells, while vectors without any structure in many
@@ -35,8 +35,6 @@ from tidemark.llm.frames import staged
 BLOCK = 2048
 #: Pivots: one for each BLOCK vectors, this many at most.
 MAX_PIVOTS = 512
-#: Single-precision cosines this near to the threshold are computed again in double precision.
-MARGIN = 1e-4
 SLACK = 1e-9
 
 #: What ``near_vectors`` returns for a table with unique ids, in DuckDB SQL over all pairs.
@@ -59,16 +57,25 @@ left join (select a, count(*) as n from links group by a) n on n.a = e.vec_id
 
 
 def unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return normal(np.array(vectors, dtype=np.float64))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     """The unit vectors of a column of equally long lists of numbers without nulls."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return normal(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+def normal(x: np.ndarray) -> np.ndarray:
+    """Unit vectors. Each is scaled by a power of two first, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def margin(dim: int) -> float:
+    """Single-precision cosines of unit vectors are no further than this from the true ones: the rounding of dim products and their sum."""
+    return (dim + 8) * 2.0**-22
+
+
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
@@ -92,8 +99,9 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def linked(h: np.ndarray, x: np.ndarray, h32: np.ndarray, x32: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of h and x whose cosine is at least the threshold in double precision."""
     s = h32 @ x32.T
-    i, j = np.nonzero(s >= np.float32(threshold - MARGIN))
-    near = s[i, j] < threshold + MARGIN
+    near_by = margin(h.shape[1])
+    i, j = np.nonzero(s >= threshold - near_by)
+    near = s[i, j] < threshold + near_by
     if near.any():
         keep = ~near
         keep[near] = np.einsum("ij,ij->i", h[i[near]], x[j[near]]) >= threshold

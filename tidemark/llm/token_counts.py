@@ -5,8 +5,9 @@ sum of scores (of equal sums the one with fewer tokens). Distinct pre-tokens go
 sum and its number of tokens) depends on the path to it alone, so it is computed once however many words begin with that path, and
 the node where a word ends holds the word's count. A document's count is the sum over its words.
 
-Each worker has a trie of its own, which starts anew beyond a number of nodes; counts do not depend on that, and
-nothing is shuffled.
+Each task has a trie of its own, which starts anew beyond a number of nodes; counts do not depend on that, and
+nothing is shuffled. A pre-token of more than MAX_WORD characters (text without spaces) is scored by itself, with the states of
+its last characters alone, and is not inserted: it shares its path with no other.
 
 Scores. The vocabulary file lists merged pieces in order of rank. A unigram score is Zipf's log-probability of that rank,
 -log(rank + OFFSET); single characters and bytes keep their place in that order. A character that is no piece falls back to the byte
@@ -18,8 +19,10 @@ empty result. Other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import slices
+from tidemark.llm.frames import give_back, slices
 
 #: Added to a piece's rank before the logarithm.
 OFFSET = 3.0
 #: Word-start mark of the vocabulary.
 MARK = "▁"
-#: Nodes of a worker's trie before it starts anew.
-MAX_NODES = 1_000_000
+#: Nodes of a task's trie before it starts anew, and characters of a pre-token that it takes.
+MAX_NODES, MAX_WORD = 1_000_000, 256
 
 
 def default_vocabulary() -> str:
@@ -58,8 +61,10 @@ class CountingTrie:
     """Forward states by prefix. Children are found by (node, character) in one table."""
 
     def __init__(self, scores: dict[str, float], byte_score: float, max_nodes: int = MAX_NODES) -> None:
-        self.scores, self.byte_score, self.max_nodes = scores, byte_score, max_nodes
+        self.byte_score, self.max_nodes = byte_score, max_nodes
         self.longest = max(map(len, scores), default=1)
+        # The score of each piece, and None for what only ends a piece: a search for last tokens stops where no piece ends so.
+        self.tails: dict[str, float | None] = {x[k:]: None for x in scores for k in range(1, len(x))} | scores
         self.clear()
 
     def clear(self) -> None:
@@ -71,29 +76,42 @@ class CountingTrie:
         """Tokens of a word, stored at its terminal."""
         got = self.terminal.get(word)
         if got is None:
-            got = self.terminal[word] = self._insert(MARK + word.decode("utf-8", "replace"))
+            text = MARK + word.decode("utf-8", "replace")
+            if len(text) > MAX_WORD:
+                return self._alone(text)
+            got = self.terminal[word] = self._insert(text)
         return got
 
+    def _state(self, text: str, end: int, states: Callable[[int], tuple[float, int]]) -> tuple[float, int]:
+        """The best sum and its tokens for text[:end] from those of shorter prefixes: its last token is any piece that ends here, or
+        the bytes of its last character."""
+        top, least, tails = -math.inf, 0, self.tails
+        for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+            score = tails.get(text[start:end], math.inf)
+            if score == math.inf:
+                break
+            if score is not None:
+                total, n = states(start)
+                total, n = total + score, n + 1
+                if total > top or total == top and n < least:
+                    top, least = total, n
+        char = text[end - 1]
+        if tails.get(char) is None:
+            width = len(char.encode("utf-8", "replace"))
+            total, n = states(end - 1)
+            total, n = total + width * self.byte_score, n + width
+            if total > top or total == top and n < least:
+                top, least = total, n
+        return top, least
+
     def _insert(self, text: str) -> int:
-        children, best, tokens, scores, longest = self.children, self.best, self.tokens, self.scores, self.longest
+        children, best, tokens = self.children, self.best, self.tokens
         node, path = 0, [0]
         for end, char in enumerate(text, 1):
             key = node << 21 | ord(char)
             child = children.get(key)
             if child is None:
-                # The last token of the prefix text[:end]: any piece that ends here, or the bytes of its last character.
-                top, least = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(text[start:end])
-                    if score is not None:
-                        total, n = best[path[start]] + score, tokens[path[start]] + 1
-                        if total > top or total == top and n < least:
-                            top, least = total, n
-                if char not in scores:
-                    width = len(char.encode("utf-8", "replace"))
-                    total, n = best[path[end - 1]] + width * self.byte_score, tokens[path[end - 1]] + width
-                    if total > top or total == top and n < least:
-                        top, least = total, n
+                top, least = self._state(text, end, lambda k: (best[path[k]], tokens[path[k]]))
                 child = children[key] = len(best)
                 best.append(top)
                 tokens.append(least)
@@ -101,6 +119,12 @@ class CountingTrie:
             path.append(node)
         return tokens[node]
 
+    def _alone(self, text: str) -> int:
+        kept = deque([(0.0, 0)], self.longest)  # the states of the last prefixes; the newest, of text[:end - 1], is the last
+        for end in range(1, len(text) + 1):
+            kept.append(self._state(text, end, lambda k: kept[k - end]))  # noqa: B023  called at once
+        return kept[-1][1]
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         if len(self.best) > self.max_nodes:
@@ -113,7 +137,9 @@ class CountingTrie:
         return total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
 
 
-_tries: dict[str, CountingTrie] = {}
+@functools.cache
+def _scores(path: str) -> tuple[dict[str, float], float]:
+    return unigram_scores(path)
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -121,12 +147,16 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = vocabulary or default_vocabulary()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _tries.get(path) or _tries.setdefault(path, CountingTrie(*unigram_scores(path)))
-        for batch in slices(batches, "__text"):
-            text = batch.column(1)
-            lengths = pc.list_value_length(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(text, ""))))
-            words = pc.if_else(pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(text, ""))), 0), 0, lengths)
-            yield pa.RecordBatch.from_arrays([batch.column(0), words.cast(pa.int64()), pa.array(trie.counts(text))], ["doc_id", "n_words", "n_tokens"])
+        trie = CountingTrie(*_scores(path))
+        try:
+            for batch in slices(batches, "__text"):
+                text = batch.column(1)
+                lengths = pc.list_value_length(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(text, ""))))
+                words = pc.if_else(pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(text, ""))), 0), 0, lengths)
+                yield pa.RecordBatch.from_arrays([batch.column(0), words.cast(pa.int64()), pa.array(trie.counts(text))], ["doc_id", "n_words", "n_tokens"])
+        finally:
+            del trie
+            give_back()
 
     named = df.select(df[id_col].cast("bigint").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     return named.mapInArrow(work, "doc_id bigint, n_words bigint, n_tokens bigint")

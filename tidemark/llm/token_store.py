@@ -3,8 +3,9 @@
 Writing. Documents become id streams; a rolling (gear) hash over the last ids cuts each stream into
 chunks where its top bits are zero, so equal passages give equal chunks wherever they stand. A chunk's
 address is the BLAKE2b digest of its bytes. One shuffle by address leaves a single copy of each chunk
-(tasks send a chunk once each); document rows travel along in the same shuffle, so texts are encoded once and no
-staging copy exists. Recipes are then range-sorted by document id.
+(tasks send a chunk once or a few times each); document rows travel along in the same shuffle, so texts are encoded once and no
+staging copy exists. Its partitions follow the bytes of the texts (TASK_BYTES), so the addresses that a task remembers are bounded. Recipes
+are then range-sorted by document id.
 
 Files, below one folder, all Parquet that any Spark reader opens:
 
@@ -40,6 +41,8 @@ from tidemark.llm.frames import fresh_path, slices
 #: Ids of a chunk: least, most, and bits of the rolling hash that are zero at a cut (512 ids between cuts on average).
 LEAST, MOST, BITS, WINDOW = 128, 4096, 9, 8
 DIGEST = 16
+#: Bytes of text for a partition of chunks (some 100,000 addresses), and addresses that an encoding task remembers to send a chunk once.
+TASK_BYTES, REMEMBERED = 32 << 20, 100_000
 
 
 def digest(data: bytes) -> bytes:
@@ -135,8 +138,14 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in raw.split(", ")])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, gear, sent = encoding.WordEncoder.of(path), gear_table(), set()
+        with encoding.WordEncoder.lent(path) as encoder:
+            yield from chunked(batches, encoder)
+
+    def chunked(batches: Iterator[pa.RecordBatch], encoder: encoding.WordEncoder) -> Iterator[pa.RecordBatch]:
+        gear, sent = gear_table(), set()
         for batch in slices(batches, "__text"):
+            if len(sent) > REMEMBERED:
+                sent.clear()
             ids, offsets = encoder.encode(batch.column(1))
             if width == 2 and len(ids) and int(ids.max()) >= 1 << 16:
                 raise ValueError("ids of this vocabulary need width=4")
@@ -189,7 +198,9 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(last, schema, strict=True)], schema=schema)
 
     named = df.select(df[id_col].cast("bigint").alias("__id"), df[text_col].cast("string").alias("__text"))
-    packs = named.mapInArrow(encode, raw).repartition("route").mapInArrow(once, raw)
+    size = df.agg(F.sum(F.octet_length(df[text_col].cast("string")))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    packs = named.mapInArrow(encode, raw).repartition(tasks, "route").mapInArrow(once, raw)
     packs.write.option("compression", "zstd").parquet(f"{folder}/packs")
     documents = spark.read.schema(packs.schema).parquet(f"{folder}/packs").where("chunk_id is null").select("doc_id", "n_tokens", "chunk_ids", "chunk_lengths")
     order = documents.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "chunk_ids")
@@ -289,6 +300,39 @@ def read_digests(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     return whole.select(F.col("at.doc_id").alias("doc_id"), (F.col("shard_start") + F.col("at.before")).alias("start"), size.alias("n_tokens"), "ids_crc32")
 
 
+def read_ids(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+    """For each document of the store: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit integers), from the files.
+
+    The recipes are compared with the manifest and each chunk with its address, as in ``read_digests``.
+    """
+    verify_manifest(spark, folder)
+    kind = f"<u{width}"
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if digest(data) != name:
+                    raise ValueError(f"chunk {name.hex()} is damaged")
+            yield batch
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(b"".join(x["data"] for x in sorted(parts, key=lambda x: x["k"])), kind).astype("<u4") for parts in batch.column(2).to_pylist()]
+            for n, x in zip(batch.column(1).field("n_tokens").to_pylist(), ids, strict=True):
+                if len(x) != n:
+                    raise ValueError("a document's chunks don't make up its length")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in ids], pa.binary())], ["shard", "at", "ids"])
+
+    chunks = chunk_rows(spark, folder).mapInArrow(checked, "chunk_id binary, data binary")
+    recipes = recipe_rows(spark, folder).where("root is null").withColumn("at", F.struct("before", "doc_id", "n_tokens"))
+    used = recipes.select("shard", "at", F.posexplode("chunk_ids").alias("k", "chunk_id"))
+    parts = used.join(chunks, "chunk_id").groupBy("shard", "at").agg(F.collect_list(F.struct("k", "data")).alias("parts"))
+    got = parts.select("shard", "at", "parts").mapInArrow(whole, "shard int, at struct<before:bigint,doc_id:bigint,n_tokens:bigint>, ids binary")
+    starts = spark.read.parquet(f"{folder}/manifest").where("shard >= 0").select("shard", F.col("start").alias("shard_start"))
+    got = got.join(F.broadcast(starts), "shard")  # a row for each task that wrote recipes
+    return got.select(F.col("at.doc_id").alias("doc_id"), (F.col("shard_start") + F.col("at.before")).alias("start"), F.col("at.n_tokens").alias("n_tokens"), "ids")
+
+
 def store_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Writes a store into a new folder of the shared folder and returns its documents as read back."""
     folder = fresh_path(df.sparkSession, "token-store")

@@ -67,6 +67,19 @@ def test_word_encoder_is_the_library(tokenizer):
     assert e.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
 
+def test_tables_are_empty_between_tasks(tokenizer):
+    import pyarrow as pa
+
+    path = encoding.default_vocabulary()
+    with pytest.raises(KeyError), encoding.WordEncoder.lent(path) as e:
+        e.encode(pa.array(texts(), pa.string()))
+        assert len(e.words) > 100 and len(e.pieces) > 20
+        raise KeyError
+    assert not e.words and len(e.pieces) == 1 and len(e.pool) == 0
+    with encoding.WordEncoder.lent(path) as again:
+        assert again is e and again.encode(pa.array(["a b"]))[0].tolist() == ids_of(tokenizer, "a b").tolist()
+
+
 def test_another_vocabulary_is_refused():
     import public_tokenizers
 
@@ -81,7 +94,7 @@ def test_packing(spark, docs, tokenizer):
     got = packing.pack_documents(docs, with_ids=True, capacity=64).collect()
     windows = {}
     for r in got:
-        assert crc(r.ids) == r.ids_crc32 and len(r.ids) == r.length
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
         windows.setdefault(r.sequence_id, []).append(r)
     for w in windows.values():
         at = 0
@@ -91,7 +104,7 @@ def test_packing(spark, docs, tokenizer):
         assert at == 64 or at & (at - 1) == 0
     pieces = {}
     for r in got:
-        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens, list(r.ids)))
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens, np.frombuffer(r.ids, "<u4").tolist()))
     for doc, text in pairs(docs):
         if doc is None or doc == 3:
             continue
@@ -189,6 +202,15 @@ def test_lost_and_changed_recipes_are_found(spark, docs):
             token_store.read_digests(spark, other).collect()
 
 
+def test_ids_are_read_back(spark, docs, tokenizer):
+    folder = fresh_path(spark, "test-store")
+    token_store.write_store(docs, folder)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in token_store.read_ids(spark, folder).collect())
+    assert got == sorted((d is not None, d or 0, ids_of(tokenizer, t).tobytes()) for d, t in pairs(docs))
+    starts = {r.start: r.n_tokens for r in token_store.read_ids(spark, folder).collect()}
+    assert all(a + starts[a] in starts or a == max(starts) for a in starts)
+
+
 def test_empty_store(spark, docs):
     assert token_store.store_and_read(docs.limit(0)).collect() == []
 
@@ -229,16 +251,18 @@ def test_token_counts(spark, docs):
     assert token_counts.token_counts(docs.limit(0)).collect() == []
 
 
-def test_trie_agrees_with_the_unigram_library():
-    """The library's unigram model with the same scores finds a segmentation with the same sum."""
-    scores, byte_score = token_counts.unigram_scores(token_counts.default_vocabulary())
-    small = token_counts.CountingTrie(scores, byte_score, max_nodes=50)
-    large = token_counts.CountingTrie(scores, byte_score)
+def test_tries_of_any_size_agree_with_brute_force(monkeypatch):
     import pyarrow as pa
 
-    words = [w for t in texts() if t for w in t.split(" ")[:300]]
-    for k in range(0, len(words), 20):
-        assert small.counts(pa.array(words[k : k + 20])).tolist() == large.counts(pa.array(words[k : k + 20])).tolist()
+    scores, byte_score = token_counts.unigram_scores(token_counts.default_vocabulary())
+    words = [w for t in texts() if t for w in re.findall(r"[^\x20\x09-\x0D]+", t)[:300]] + ["漢字" * 300, "ab" * 400]
+    want = [brute_count(w, scores, byte_score) for w in words]
+    for most, long in ((50, 256), (1_000_000, 256), (1_000_000, 3)):
+        monkeypatch.setattr(token_counts, "MAX_WORD", long)
+        trie = token_counts.CountingTrie(scores, byte_score, max_nodes=most)
+        got = [n for k in range(0, len(words), 20) for n in trie.counts(pa.array(words[k : k + 20])).tolist()]
+        assert got == want
+    assert len(trie.best) < 40  # long pre-tokens are not inserted
 
 
 # -- simhash
@@ -304,6 +328,21 @@ def test_keep_one(spark, docs):
     assert kept.where("doc_id is null").count() == 2
 
 
+@pytest.mark.parametrize("similarity", [False, True])
+def test_keep_one_of_odd_rows(spark, similarity):
+    """Two texts under one id are two documents; repeated rows leave one; of copies under one id one stays, always the same; clashing names."""
+    many = " ".join(f"word{k}" for k in range(50))
+    rows = [(1, "alpha beta gamma", "s", 1.0, "a"), (1, "something else altogether here", "s", 1.0, "a"), (2, many, "s", 1.0, "a"), (2, many, "s", 1.0, "a"), (3, many, None, 2.0, "b"), (4, "copy", "x", 1.0, "a"), (4, "copy", "y", 1.0, "a"), (5, None, "s", None, None), (6, "", "s", None, None), (None, many, "s", 1.0, "a"), (None, many, "s", 1.0, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __key string, __row double, node string")
+    got = [simhash.keep_one(x, similarity=similarity).collect() for x in (df.repartition(3), df.repartition(2, "text"))]
+    for kept in got:
+        assert sorted((r.doc_id, r.text or "") for r in kept if r.doc_id) == [(1, "alpha beta gamma"), (1, "something else altogether here"), (2, many), (4, "copy"), (5, "")]
+        assert len([r for r in kept if r.doc_id is None]) == 2
+    assert {tuple(r) for r in got[0]} == {tuple(r) for r in got[1]}
+    assert simhash.keep_one(df, similarity=similarity).columns == df.columns
+    assert simhash.keep_one(df.limit(0), similarity=similarity).collect() == []
+
+
 @pytest.mark.parametrize("small", [64, 2])
 def test_near_copies_by_shingles(spark, docs, monkeypatch, small):
     """Against all pairs, both by single pairs and by blocks; copies with edits far beyond two bits are found."""
@@ -331,7 +370,7 @@ def test_near_copies_by_shingles(spark, docs, monkeypatch, small):
     assert {x.doc_id: x.component_id for x in shingles.near_duplicates(df).where("doc_id is not null").collect()} == {d: ids[k] for d, k in zip(ids, root, strict=True)}
     bits = {d: simhash.fingerprint((t or "").encode()) for d, t in rows}
     assert any((bits[d] ^ bits[ids[k]]).bit_count() > 2 for d, k in zip(ids, root, strict=True))
-    kept = shingles.keep_one(df)
+    kept = simhash.keep_one(df, similarity=True)
     assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == sorted({ids[k] for k in root}) and kept.where("doc_id is null").count() == 1
     assert shingles.near_duplicates(df.limit(0)).collect() == []
 
@@ -395,8 +434,8 @@ def test_folded_scores_are_kernel_scores():
     r = random.Random(2)
     samples = [(lang, " ".join(r.choice(SAMPLE[lang].split()) for _ in range(20)).encode()) for lang in SAMPLE for _ in range(12)]
     m = language.fit(samples, landmarks=5, ridge=1e-2, jitter=1e-6)
-    table, scratch = language.alphabet(m.letters), np.zeros(language.GRAMS, bool)
-    sets = [set(language.grams(t, table, scratch).tolist()) for _, t in samples]
+    spectrum = language.Spectrum(m.letters)
+    sets = [set(spectrum.grams(t).tolist()) for _, t in samples]
     k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
     chosen = [n for lang in sorted(SAMPLE) for n in [n for n, (x, _) in enumerate(samples) if x == lang][:5]]
     inner = k[np.ix_(chosen, chosen)]
@@ -404,11 +443,41 @@ def test_folded_scores_are_kernel_scores():
     features = k[:, chosen] @ (v @ np.diag(e**-0.5) @ v.T)
     y = np.array([[float(x == lang) for lang in sorted(SAMPLE)] for x, _ in samples])
     want = features @ np.linalg.solve(features.T @ features + 1e-2 * len(samples) * np.eye(len(inner)), features.T @ y)
-    names, scores = m.score([t for _, t in samples], table, scratch)
+    names, scores = m.score([t for _, t in samples], spectrum)
     assert names == [sorted(SAMPLE)[n] for n in want.argmax(axis=1)]
     assert np.allclose(scores, np.clip(want.max(axis=1), 0, 1), atol=1e-3)
 
 
+def test_spectrum_against_plain_python():
+    some = [*[t for t in texts() if t], "漢字かな交じり文" * 3, "Ünï 1 x"]
+    for letters in (["a", "b", "e"], sorted({c for t in some for c in t.lower() if c.isalpha()})):
+        spectrum = language.Spectrum(letters)
+        code = {c: k + 1 for k, c in enumerate(letters)}
+        assert (spectrum.seen is None) == (len(letters) + 2 > language.DENSE)
+        for text in some:
+            line = re.sub("0+", "0", "0" + "".join(chr(code.get(c, len(letters) + 1) + 48) if c.isalpha() else "0" for c in text.lower()) + "0")
+            want = {line[k : k + n] for n in (1, 2, 3) for k in range(len(line) - n + 1)} - {"0", "00"}
+            assert len(spectrum.grams(text.encode())) == (len(want) if line != "0" else 0)
+
+
+def test_other_scripts_are_told_apart(spark):
+    """More letters than any one alphabet has, two of the languages in them."""
+    r = random.Random(3)
+    words = {"zh": "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里", "ja": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん", "en": "the and of that with"}
+    make = lambda lang: " ".join("".join(r.choice(words[lang]) for _ in range(4)) for _ in range(20)) if lang != "en" else " ".join(r.choice(words[lang].split()) for _ in range(30))
+    rows = [(k, make(list(words)[k % 3]), list(words)[k % 3]) for k in range(150)]
+    got = language.language_report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {k: lang for k, _, lang in rows}
+
+
+def test_filters_keep_clashing_columns(spark):
+    docs = language_docs(spark).withColumnRenamed("lang_pred", "source").withColumns({c: F.lit(k) for k, c in enumerate(("score", "__score", "__lang_pred", "__text", "__id", "__times", "__size", "__s"))})
+    known = spark.createDataFrame([(k, 1) for k in range(240)], "doc_id bigint, quality int")
+    for got in (language.keep_known(docs), quality.keep_good(docs, known, cutoff=0.0), mixing.mix(docs)):
+        assert got.columns == docs.columns
+        assert {tuple(r)[4:] for r in got.collect()} == {tuple(range(8))}
+
+
 # -- quality
 
 
@@ -432,6 +501,7 @@ def test_quality(spark):
     kept = quality.keep_good(docs, known)
     assert kept.columns == docs.columns and kept.count() >= 400
     assert {r.score for r in quality.quality_report(docs, known.limit(0)).collect()} == {0.5}
+    assert len(quality.quality_report(docs, known.unionByName(known).unionByName(known)).collect()) == len(rows)
     assert quality.quality_report(docs.limit(0), known).collect() == []
 
 

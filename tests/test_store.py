@@ -90,6 +90,65 @@ def test_stream_commits(spark, tmp_path):
     assert live(s.at("t", 1)) == [(1, 1), (2, 2)]
 
 
+def test_a_stream_beside_other_commits(spark, tmp_path):
+    """Each micro-batch is one epoch, whatever is committed in between and wherever the run broke off."""
+    source, check = tmp_path / "changes", str(tmp_path / "check")
+    s = EpochStore(spark, str(tmp_path / "store"), {"t": ["id"], "u": ["id"]}, "create")
+
+    def arrive(*rows):
+        ops(spark, *rows).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        read = spark.readStream.schema("op string, seq int, id bigint, v bigint").option("maxFilesPerTrigger", 1).parquet(str(source))
+        commit_stream(read, EpochStore(spark, str(tmp_path / "store"), s.tables), "t", check).awaitTermination()
+
+    arrive(("insert", 1, 1))
+    run()
+    s.commit(s.current().user + 1, {"u": ops(spark, ("insert", 7, 7))})
+    arrive(("insert", 2, 2))
+    arrive(("insert", 3, 3))
+    run()
+    assert live(s.at("t", s.current().user)) == [(1, 1), (2, 2), (3, 3)]
+    # The last batch was published, but the stream's own note of it was lost.
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for path in (last, last.with_name(f".{last.name}.crc")):
+        path.unlink(missing_ok=True)
+    before = s.entries()
+    run()
+    assert s.entries() == before and len({e.source for e in before if e.source}) == 3
+
+
+def test_racing_commits(spark, tmp_path, monkeypatch):
+    """Of two writers that saw the same store one is refused, and what the other has published stays as it is."""
+    one, two = (EpochStore(spark, str(tmp_path / "store"), {"t": ["id"]}, mode, 0) for mode in ("create", "open"))
+    stale = two.current()
+    one.commit(1, {"t": ops(spark, ("insert", 1, 1))}, checked=False)
+    monkeypatch.setattr(two, "current", lambda: stale)
+    with pytest.raises(EpochError):
+        two.commit(1, {"t": ops(spark, ("insert", 2, 2))}, checked=False)
+    assert live(one.at("t", 1)) == [(1, 1)]
+    assert len(list((tmp_path / "store" / "t").iterdir())) == 1 and not list((tmp_path / "store" / "manifest").glob("*.draft"))
+
+
+def test_commits_after_a_compaction(spark, tmp_path):
+    s = EpochStore(spark, str(tmp_path / "store"), {"t": ["id"]}, "create")
+    s.commit(1, {"t": ops(spark, ("insert", 1, 1), ("insert", 2, 2))})
+    s.commit(2, {"t": ops(spark, ("update", 1, 5), ("delete", 2, None))})
+    plain = lambda: sorted(tuple(r) for r in s.versions("t").select("id", "v", "valid_from", "valid_until").collect())
+    before = plain()
+    assert s.compact("t").count() == 3 and plain() == before
+    s.commit(3, {"t": ops(spark, ("insert", 2, 8), ("update", 1, 6))})
+    read = s.versions("t", spark.createDataFrame([(1,)], "id bigint")).inputFiles()
+    assert read and all("/versions/t/" in f or "epoch-000000000003" in f for f in read)
+    assert [live(s.at("t", e)) for e in (1, 2, 3)] == [[(1, 1), (2, 2)], [(1, 5)], [(1, 6), (2, 8)]]
+    with pytest.raises(KeyStateError):
+        s.commit(4, {"t": ops(spark, ("insert", 2, 9))})
+    s.rollback(2)
+    assert plain() == before and live(s.at("t", 2)) == [(1, 5)]
+    s.rollback(1)  # the compaction reaches beyond it and goes
+    assert live(s.at("t", 1)) == [(1, 1), (2, 2)] and not list((tmp_path / "store" / "compacted" / "t").glob("*.json"))
+
+
 def test_brackets_and_neighbours(spark):
     v = spark.createDataFrame([(1, 10, 1, 9), (2, 20, 1, 9), (3, 20, 1, 9), (4, 30, 1, 9), (5, 25, 5, 9)], "id bigint, s bigint, valid_from bigint, valid_until bigint")
     got = {(r.side, r.s, r.id) for r in keys.bracket_secondary(v, 2, ["id"], "s", 25, 28).collect()}

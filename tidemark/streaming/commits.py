@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,18 +11,18 @@ from tidemark.operators.epochs import EpochStore
 
 
 def commit_stream(changes: DataFrame, store: EpochStore, table: str, checkpoint: str, step: int = 1, available_now: bool = True) -> StreamingQuery:
-    """Commits each micro-batch of ``changes`` (op, seq, key and value columns) to ``table``.
+    """Commits each micro-batch of ``changes`` (op, seq, key and value columns) to ``table``, exactly once.
 
-    A batch that is delivered again after a failure finds its epoch published and is skipped: batch n is incremental
-    epoch start + n + 1, where start is the store's epoch when the checkpoint was new.
+    The manifest entry of a micro-batch holds the stream's id, which its checkpoint keeps over restarts, and the batch's number, so a batch that is
+    delivered again after a failure is found there and skipped, whatever else was committed to the store meanwhile.
     """
-    start = store.current()
+    spark = changes.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        last = store.current()
-        if start.incremental + number + 1 <= last.incremental:
-            return
-        store.commit(last.user + step, {table: batch})
+        source = (json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"], number)
+        entries = store.entries()
+        if all(e.source != source for e in entries):
+            store.commit(entries[-1].user + step, {table: batch}, source=source)
 
     writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -101,9 +101,10 @@ def test_wide_columns(spark):
 
 
 def test_limits_and_offsets(spark, engine):
+    last_first = lambda rows: sorted(rows, key=lambda x: x[::-1])  # noqa: E731  the order of results; LIMIT and OFFSET go by block, s and a
     every = [tuple(r.values()) for r in engine.query(f"SELECT block, s, a FROM t WHERE {IN}", 1, 12, limit=1000).rows()]
-    assert every == sorted(every)
-    assert [tuple(r.values()) for r in engine.query(f"SELECT block, s, a FROM t WHERE {IN}", 1, 12, limit=5, offset=7).rows()] == every[7:12]
+    assert every == last_first(every)
+    assert [tuple(r.values()) for r in engine.query(f"SELECT block, s, a FROM t WHERE {IN}", 1, 12, limit=5, offset=7).rows()] == last_first(sorted(every)[7:12])
     assert engine.query(f"SELECT a FROM t WHERE {IN}", 1, 12, limit=5, offset=1000).rows() == []
     e = Engine(spark, Catalog(limits=Limits(outputs=3)))
     e.register(T, spark.createDataFrame(rows_of(), "block bigint, s bigint, a bigint, b bigint"))
@@ -143,3 +144,28 @@ def test_empty_table(spark):
     e.register(T, spark.createDataFrame([], "block bigint, s bigint, a bigint, b bigint"))
     assert e.rows(f"SELECT SUM(a), COUNT(a) FROM t WHERE {IN}", 1, 9) == ([], False)
     assert e.rows(f"SELECT a FROM t WHERE {IN}", 1, 9) == ([], False)
+
+
+def test_results_are_sorted_by_value(spark):
+    """By the last output first, after LIMIT has chosen rows by their place in the table; equal rows stay."""
+    e = Engine(spark)
+    rows = [(1, 4, 9), (1, 2, 9), (2, 7, 1), (2, 7, 1), (3, 1, 5)]
+    e.register(table_def("t", "epoch", "a", "b"), spark.createDataFrame(rows, "epoch bigint, a bigint, b bigint").repartition(3))
+    assert [(r["a"], r["b"]) for r in e.query("SELECT a, b FROM t", 1, 3).rows()] == [(7, 1), (7, 1), (1, 5), (2, 9), (4, 9)]
+    assert [(r["a"], r["b"]) for r in e.query("SELECT a, b FROM t", 1, 3, limit=3).rows()] == [(7, 1), (2, 9), (4, 9)]
+    assert [r["x"] for r in e.query("SELECT DISTINCT b * 2 AS x FROM t", 1, 3).rows()] == [2, 10, 18]
+    assert [r["x"] for r in e.query("SELECT a * b AS x FROM t", 1, 3, wide=True).rows()] == [5, 7, 7, 18, 36]
+
+
+def test_answers_are_whole(spark):
+    """One object, computed, in the wide form where a value leaves the native types."""
+    e = Engine(spark)
+    e.register(table_def("t", "epoch", "a", "b"), spark.createDataFrame([(1, 4, 9), (2, 7, 1), (2, 3, 3)], "epoch bigint, a bigint, b bigint"))
+    got = e.answer("SELECT a + b AS x FROM t WHERE epoch >= $MIN_BLOCK AND epoch <= $MAX_BLOCK AND a > 3", 1, 2, limit=1)
+    assert (got.n_rows, got.matched, got.error, got.wide) == (1, 2, False, False) and got.frame.collect()[0].x == 13
+    got = e.answer("SELECT a - b AS x FROM t", 1, 2)
+    assert (got.n_rows, got.matched, got.error, got.wide) == (3, 3, True, True) and got.frame.count() == 3
+    rows, error = e.rows("SELECT a - b AS x FROM t", 1, 2)
+    assert [r["x"] for r in rows] == [0, 6, (1 << 256) - 5] and error
+    got = e.answer("SELECT MAX(a), COUNT(b) FROM t WHERE epoch >= $MIN_BLOCK AND epoch <= $MAX_BLOCK AND a > 100", 1, 2)
+    assert (got.n_rows, got.matched, got.error) == (0, 0, False)

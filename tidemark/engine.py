@@ -44,29 +44,46 @@ class Source:
 
 @dataclass
 class QueryResult:
-    """``frame``: the result's rows. ``error()``: whether any operation on any processed row, or a sum, left the domain. ``matched()``: how many
-    rows match WHERE, before DISTINCT, LIMIT and OFFSET."""
+    """``frame``: the result's rows, sorted by their values, the last output first; LIMIT and OFFSET have chosen them before that.
+    ``error()``: whether any operation on any processed row, or a sum, left the domain. ``matched()``: how many rows match WHERE, before DISTINCT,
+    LIMIT and OFFSET. ``checks``: both, as one row."""
 
     frame: DataFrame
-    errors: DataFrame
-    counts: DataFrame
+    checks: DataFrame
     checked: Checked
     wide: bool
 
     def matched(self) -> int:
-        return int(self.counts.first()[0])
+        return int(self.checks.select("matched").first()[0])
 
     def error(self) -> bool:
-        return bool(self.errors.first()[0])
+        return bool(self.checks.select("error").first()[0])
 
     def rows(self) -> list[dict[str, int]]:
-        """The result's rows as Python integers; a result has as many rows as its LIMIT allows."""
+        """The result's rows as Python integers, for results that LIMIT bounds or that are known to be small; ``frame`` serves all others."""
         out = []
         for r in self.frame.collect():
             out.append({k: u256.decode(bytes(v)) if isinstance(v, (bytes, bytearray)) else None if v is None else int(v) for k, v in r.asDict().items()})
         return out
 
 
+@dataclass(frozen=True)
+class Answer:
+    """A result that has run: its rows (``frame`` can't fail any more for want of width), how many they are, how many rows matched WHERE, and the
+    error flag."""
+
+    frame: DataFrame
+    n_rows: int
+    matched: int
+    error: bool
+    wide: bool
+
+
+def leaves_native(e: PySparkException) -> bool:
+    """Whether a query failed since a value does not fit the native types."""
+    return any(x in str(e) for x in (WIDE_MARK, "ARITHMETIC_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE"))
+
+
 class Engine:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None, names: BoundNames = BoundNames()) -> None:
         self.spark, self.catalog, self.names = spark, catalog or Catalog(), names
@@ -108,11 +125,29 @@ class Engine:
         try:
             return got.rows(), got.error()
         except PySparkException as e:
-            if WIDE_MARK not in str(e):
+            if got.wide or not leaves_native(e):
                 raise
         got = self.query(text, low, high, params, limit, offset, wide=True)
         return got.rows(), got.error()
 
+    def answer(self, text: str, low: int, high: int, params: Mapping[str, int] | None = None, limit: int | None = None, offset: int = 0) -> Answer:
+        """Rows, their number, the matched rows and the error flag in one object, in the wide form if a value leaves the native types. Nothing but
+        numbers reaches the driver."""
+        got = self.query(text, low, high, params, limit, offset)
+        try:
+            return self._run(got)
+        except PySparkException as e:
+            if got.wide or not leaves_native(e):
+                raise
+        return self._run(self.query(text, low, high, params, limit, offset, wide=True))
+
+    @staticmethod
+    def _run(got: QueryResult) -> Answer:
+        # The hash makes every value be computed, so that none fails later.
+        n = got.frame.agg(F.count("*"), F.expr("bit_xor(xxhash64(*))")).first()[0]
+        checks = got.checks.first()
+        return Answer(got.frame, int(n), int(checks["matched"]), bool(checks["error"]), got.wide)
+
 
 @dataclass
 class Plan:
@@ -220,7 +255,6 @@ class Plan:
         if wide:
             shown = [u256.widen(v.column.cast("bigint")) if v.truth else v.column for v in values]
         names = [o.name for o in self.outputs]
-        errors = frame.agg(F.coalesce(F.bool_or(flag if flag is not None else F.lit(False)), F.lit(False)).alias("error"))
         secondary = self.checked.table.secondary
         order = list(dict.fromkeys([self.primary, *([secondary.name] if secondary else []), *self.source.order]))
         order = [c for c in order if c in frame.columns]
@@ -236,8 +270,11 @@ class Plan:
             rows = rows.orderBy(*keys)
             rows = rows.offset(self.offset) if self.offset else rows
             rows = rows.limit(self.limit) if self.limit is not None else rows
-        counts = frame.agg(F.count_if(whole(keep)).alias("matched"))
-        return QueryResult(rows.select(*[F.col(f"`{n}`") for n in names]), errors, counts, self.checked, wide)
+        shown_names = [F.col(f"`{n}`") for n in names]
+        rows = rows.select(*shown_names).orderBy(*reversed(shown_names))
+        any_flag = F.coalesce(F.bool_or(flag if flag is not None else F.lit(False)), F.lit(False))
+        checks = frame.agg(any_flag.alias("error"), F.count_if(whole(keep)).alias("matched"))
+        return QueryResult(rows, checks, self.checked, wide)
 
     def aggregated(self, frame: DataFrame, keep: Value, values: list[Value], flag: Column | None, wide: bool, weighted: bool) -> QueryResult:
         match = whole(keep)
@@ -279,13 +316,13 @@ class Plan:
             else:
                 c = F.col(f"__{k}")
             shown.append(c.alias(o.name))
-        errors = one.select(either(*wraps).alias("error"))
+        checks = one.select(either(*wraps).alias("error"), F.col("__count").alias("matched"))
         rows = one.where("__count > 0").select(*shown)  # no matching rows: no result row
         if self.offset:
             rows = rows.where(F.lit(False))
         if self.limit is not None:
             rows = rows.limit(self.limit)
-        return QueryResult(rows, errors, one.select(F.col("__count").alias("matched")), self.checked, wide)
+        return QueryResult(rows, checks, self.checked, wide)
 
 
 def isolated(engine: Engine, text: str, low: int | None = None, high: int | None = None) -> str:

@@ -3,15 +3,16 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.errors import EpochError, IngestError, KeyStateError
+from tidemark.errors import EpochError, IngestError, InvalidName, KeyStateError
 from tidemark.catalog import table_def
-from tidemark.operators import digest, keys, lineage, scan, show, store
+from tidemark.operators import digest, keys, lineage, ranges, scan, show, store
 from tidemark.operators.epochs import EpochStore
 from tidemark.operators.value import ValueStore
 from tidemark.sources.rows import cells_from_json, ingest_rows
-from tidemark.sources.words import Slice, extract_mapping, extract_simple, extract_with_length, merge_single_mapping, pack
+from tidemark.sources.words import Slice, extract_mapping, extract_simple, extract_with_length, key_id, merge_single_mapping, pack, slice_id, words_table
 from tidemark.streaming.commits import commit_stream
 
 
@@ -256,11 +257,69 @@ def test_words(spark):
     assert sorted(map(tuple, merge_single_mapping(spark.createDataFrame([(1,)], "x int"), rows).collect())) == [(5, 3, 1), (6, 4, 1)]
     with pytest.raises(IngestError):
         merge_single_mapping(rows, rows)
-    for bad in ((0, 11), (30, 24), (-1, 8)):
+    for bad in ((0, 0), (30, 24), (-1, 8), (31, 8, 0, 1), (0, 8, 0, 8), (0, 257)):
         with pytest.raises(IngestError):
             Slice("x", 0, *bad)
 
 
+def test_slices_within_bytes(spark):
+    word = bytes((37 * k + 11) % 256 for k in range(32))
+    bits = "".join(f"{b:08b}" for b in word)
+    w = spark.createDataFrame([(0, None, None, 0, word)], "slot int, key1 bigint, key2 bigint, word_index int, word binary")
+    cases = [(0, 11, 0), (3, 5, 3), (24, 61, 3), (7, 1, 7), (1, 56, 4), (2, 119, 1), (0, 249, 7), (31, 3, 5), (7, 190, 6)]
+    got = extract_simple(w, [Slice(f"c{k}", 0, o, n, shift=s) for k, (o, n, s) in enumerate(cases)]).first()
+    for (o, n, s), value in zip(cases, got, strict=True):
+        part = bits[8 * o + s :][:n]
+        want = int.from_bytes(bytes(int(part[k : k + 8], 2) for k in range(0, n, 8)), "big")
+        assert (int.from_bytes(bytes(value), "big") if isinstance(value, bytes | bytearray) else int(value)) == want, (o, n, s)
+    odd = spark.createDataFrame([(0, None, None, 0, bytes([0b10110101, 0b10100000] + [0] * 30))], w.schema)
+    assert extract_simple(odd, [Slice("x", 0, 0, 11)]).first()[0] == 0xB505
+
+
+def test_ids_of_slices():
+    a = Slice("a", 1, 4, 32)
+    same = slice_id(Slice("other_name", 1, 4, 32), "0xAB", 1)
+    assert slice_id(a, "0xab", 1) == same and 0 < same < 1 << 64
+    others = [slice_id(x, c, n, e) for x, c, n, e in ((a, "0xab", 2, ""), (a, "0xac", 1, ""), (a, "0xab", 1, "x"), (Slice("a", 1, 5, 32), "0xab", 1, ""), (Slice("a", 1, 4, 32, shift=1), "0xab", 1, ""))]
+    keys_ = [key_id(1, p, "0xab", 1) for p in ("key", "outer", "inner")]
+    assert len({same, *others, *keys_}) == 9
+    t = words_table("t", "block", [a, Slice("b", 1, 8, 32)], ["k1", "k2"], "b", "0xab", 1)
+    assert t.names == ["block", "k1", "k2", "a", "b"] and t.secondary.name == "b" and t.columns[3].id == same
+    for bad in (([a, Slice("c", 2)], ["k"]), ([a], ["k"] * 3), ([a], [], "none")):
+        with pytest.raises(IngestError):
+            words_table("t", "block", *bad)
+    with pytest.raises(IngestError):
+        key_id(1, "middle")
+    with pytest.raises(InvalidName):
+        words_table("t", "block", [a, Slice("b", 1, 4, 32)])  # the same bits twice
+
+
+@pytest.fixture
+def many_ranges(spark):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    yield
+    spark.conf.unset(setting)
+
+
+def test_places_over_ranges(spark, many_ranges):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3]), rng.choice([7, 7, rng.randrange(9), None]), k) for k in range(700)] + [(None, 1, 900), (9, 2, 901)]
+    frame = spark.createDataFrame(rows, "e bigint, s bigint, id bigint").repartition(5)
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    groups = {e: sorted((r for r in rows if r[0] == e), key=order) for e in {r[0] for r in rows}}
+    o = ranges.ordered(frame, ["e", "s", "id"])
+    assert o.where("e = 1").select(ranges.RANGE).distinct().count() > 1  # one epoch is over several ranges
+    got = {r.id: (r["__position"], r["__size"]) for r in ranges.placed(frame, "e", ["s", "id"]).collect()}
+    assert got == {r[2]: (k, len(g)) for g in groups.values() for k, r in enumerate(g, 1)}
+    near = {r.id: (r.before_id, r.after_id) for r in keys.row_neighbours(frame, "e", "s", ["id"]).collect()}
+    ids = {e: [None, *[r[2] for r in g], None] for e, g in groups.items()}
+    assert near == {x[k]: (x[k - 1], x[k + 1]) for x in ids.values() for k in range(1, len(x) - 1)}
+    plan = sorted((r.chunk, r.n_rows) for r in keys.chunk_plan(frame, "e", "s", ["id"], 100).collect())
+    assert plan == [(k, 100) for k in range(7)] + [(7, 2)]
+    assert ranges.numbered(frame.limit(0), ["id"]).count() == ranges.placed(frame.limit(0), "e", ["id"]).count() == 0
+
+
 def test_rows_and_cells(spark):
     t = table_def("t", "block", "a")
     good = spark.createDataFrame([(1, 2, "x"), (1, 3, "y")], "block int, a int, more string")
@@ -290,4 +349,8 @@ def test_digests(spark):
     assert d(a) == d(b) != d(c)
     chain = digest.commitment_chain(digest.table_digest(a, ["x", "y"], ["e"]), "e")
     assert chain.count() == 4 and {r.holds for r in digest.chain_check(chain, "e").collect()} == {1}
+    whole = chain.withColumn("built_on", F.lag("digest", 1, digest.EMPTY).over(Window.orderBy("e")))
+    holds = lambda f, **how: [r.holds for r in digest.chain_check(f, "e", **how).orderBy("e").collect()]
+    assert holds(whole, start=0, before="built_on") == [1] * 4
+    assert holds(whole, start=1) == holds(whole.withColumn("built_on", F.coalesce(F.nullif("built_on", F.lit(digest.EMPTY)), F.lit(3))), before="built_on") == [0, 1, 1, 1]
     assert digest.commitment_chain(digest.table_digest(a.limit(0), ["x"], ["e"]), "e").count() == 0

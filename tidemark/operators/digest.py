@@ -14,6 +14,8 @@ from tidemark.plans.tree import text
 
 #: Digests are sums modulo this prime.
 MODULUS = (1 << 61) - 1
+#: The digest of a table without rows.
+EMPTY = 0
 
 
 def row_digest(columns: Sequence[str]) -> Column:
@@ -37,11 +39,21 @@ def commitment_chain(digests: DataFrame, epoch: str, seed: str = "") -> DataFram
     return rows.where(F.size("all") > 0).select(F.explode(rest).alias("x")).select(F.col("x.e").alias(epoch), F.col("x.d").alias("digest"), F.col("x.c").alias("commitment"))
 
 
-def chain_check(manifest: DataFrame, epoch: str, seed: str = "") -> DataFrame:
-    """For each row (epoch, digest, commitment) whether the commitment follows from the epoch before: 1 or 0."""
+def chain_check(manifest: DataFrame, epoch: str, seed: str = "", start: int | None = None, before: str | None = None) -> DataFrame:
+    """For each row (epoch, digest, commitment) whether the commitment follows from the epoch before: 1 or 0.
+
+    With ``start`` the chain must begin at that epoch. ``before`` names a column with the digest an epoch was built on: the digest of the epoch
+    before it, and EMPTY for the first. One row an epoch is gathered.
+    """
     w = Window.orderBy(epoch)
+    last = F.lag("digest").over(w)
     want = F.sha2(F.concat(F.coalesce(F.lag("commitment").over(w), F.lit(seed)), F.lit("|"), F.col("digest").cast("string")).cast("binary"), 256)
-    return manifest.select(epoch, (want == F.col("commitment")).cast("bigint").alias("holds"))
+    holds = want.eqNullSafe(F.col("commitment"))
+    if start is not None:
+        holds = holds & (F.lag(epoch).over(w).isNotNull() | (F.col(epoch) == start))
+    if before is not None:
+        holds = holds & F.col(before).eqNullSafe(F.coalesce(last, F.lit(EMPTY).cast("bigint")))
+    return manifest.select(epoch, holds.cast("bigint").alias("holds"))
 
 
 def query_fingerprint(checked: Checked) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
 from tidemark.operators.scan import keys_in_range
 from tidemark.operators.store import snapshot_at
 
@@ -68,24 +69,16 @@ def witness(versions: DataFrame, epoch: int, key: Sequence[str], secondary: str,
 
 
 def row_neighbours(live: DataFrame, epoch: str, secondary: str, key: Sequence[str]) -> DataFrame:
-    """For each live row of an epoch, the key before and after it in the order of (secondary, key). An epoch is one sort."""
-    w = Window.partitionBy(epoch).orderBy(secondary, *key)
-    out = live
-    for k in key:
-        out = out.withColumn(f"before_{k}", F.lag(k).over(w)).withColumn(f"after_{k}", F.lead(k).over(w))
-    return out.select(epoch, *dict.fromkeys([secondary, *key]), *[f"{side}_{k}" for k in key for side in ("before", "after")])
+    """For each live row of an epoch, the key before and after it in the order of (secondary, key)."""
+    names = list(dict.fromkeys([epoch, secondary, *key]))
+    out = ranges.neighbours(live.select(*names), epoch, [secondary, *key], key)
+    return out.select(*names, *[F.col(f"__{side}.{k}").alias(f"{side}_{k}") for k in key for side in ("before", "after")])
 
 
 def chunk_plan(live: DataFrame, epoch: str, secondary: str, key: Sequence[str], size: int) -> DataFrame:
-    """Rows in the order (epoch, secondary, key) cut into chunks of ``size`` consecutive ones: chunk, first and last epoch, rows.
-
-    A row's place is its rank within the epoch plus the rows of earlier epochs, so that only epochs are sorted, never the table.
-    """
-    counts = live.groupBy(F.col(epoch).alias("__e")).agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__before", F.sum("__c").over(Window.orderBy("__e")) - F.col("__c")).select("__e", "__before")
-    rank = F.row_number().over(Window.partitionBy(epoch).orderBy(secondary, *key))
-    placed = live.withColumn("__r", rank).join(before, F.col(epoch) == F.col("__e"))
-    chunk = F.floor((F.col("__before") + F.col("__r") - 1) / F.lit(size)).cast("bigint").alias("chunk")
+    """Rows in the order (epoch, secondary, key) cut into chunks of ``size`` consecutive ones: chunk, first and last epoch, rows."""
+    placed = ranges.numbered(live.select(*dict.fromkeys([epoch, secondary, *key])), [epoch, secondary, *key])
+    chunk = F.expr(f"(__position - 1) div {size:d}").alias("chunk")
     return placed.groupBy(chunk).agg(F.min(epoch).alias("first_epoch"), F.max(epoch).alias("last_epoch"), F.count("*").alias("n_rows"))
 
 

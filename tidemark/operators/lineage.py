@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 
 def parent(k: int, n: int) -> int | None:
     z = (k & -k).bit_length() - 1
@@ -33,9 +35,7 @@ def children(k: int, n: int) -> tuple[int | None, int | None]:
 
 def positions(live: DataFrame, epoch: str, secondary: str, key: Sequence[str]) -> DataFrame:
     """``live`` with __position (1 to the epoch's rows, by secondary and key) and __size, the epoch's rows."""
-    w = Window.partitionBy(epoch)
-    order = w.orderBy(secondary, *key)
-    return live.withColumn("__position", F.row_number().over(order).cast("bigint")).withColumn("__size", F.count("*").over(w))
+    return ranges.placed(live, epoch, [secondary, *key])
 
 
 def _level(k: Column) -> Column:

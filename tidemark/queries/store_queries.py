@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import digest, keys, lineage, scan, store
+from tidemark.operators import digest, keys, lineage, ranges, scan, store
 from tidemark.queries.sql_queries import longs
 from tidemark.queries.tables import ORDERS, lineitem_epoch, mapper, orders_epoch, read, user_log, user_state, with_tables, words
 from tidemark.sources import rows as row_source
@@ -254,6 +254,23 @@ def distinct_multiplicity(spark: SparkSession, sf: str) -> DataFrame:
     return lineitem_epoch(spark, sf).where("block between 300 and 900").groupBy("qty", "disc").agg(F.count("*").alias("multiplicity"))
 
 
+_NUMBERED = "from lineitem_epoch where block between 300 and 900"
+
+
+@query(f"select row_number() over (order by qty, disc)::bigint as number, qty, disc, multiplicity from (select qty, disc, count(*)::bigint as multiplicity {_NUMBERED} group by qty, disc)", "lineitem_epoch")
+def distinct_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct result rows, numbered in order, with their multiplicity."""
+    rows = distinct_multiplicity(spark, sf)
+    return ranges.numbered(rows, ["qty", "disc"]).withColumnRenamed("__position", "number")
+
+
+@query(f"select row_number() over (order by qty, disc)::bigint as number, qty, disc {_NUMBERED}", "lineitem_epoch")
+def rows_numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """All result rows, numbered in order, equal ones too."""
+    rows = lineitem_epoch(spark, sf).where("block between 300 and 900").select("qty", "disc")
+    return ranges.numbered(rows, ["qty", "disc"]).withColumnRenamed("__position", "number")
+
+
 @query("select value, kind, min_by(user_id, (valid_from, user_id)) as user_id, min(valid_from) as epoch from user_state where valid_from <= 15 group by value, kind", "user_state")
 def distinct_with_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct (value, kind) with the first epoch and key that has it."""
@@ -298,6 +315,14 @@ def chain_check(spark: SparkSession, sf: str) -> DataFrame:
     return digest.chain_check(chain.withColumn("commitment", F.when(F.col("block") == 105, F.lit("0")).otherwise(F.col("commitment"))), "block")
 
 
+@query("select block, (case when block = (select min(block) from live) or block = 112 then 0 else 1 end)::bigint as holds from (select distinct block from live)", "live")
+def chain_start(spark: SparkSession, sf: str) -> DataFrame:
+    """A chain that begins at an epoch after genesis, and one of whose epochs was built on another state than the last."""
+    chain = digest.commitment_chain(_digests(spark, sf), "block")
+    built = F.when(F.col("block") == 112, F.lit(1)).otherwise(F.lag("digest", 1, digest.EMPTY).over(Window.orderBy("block")))
+    return digest.chain_check(chain.withColumn("built_on", built.cast("bigint")), "block", start=0, before="built_on")
+
+
 # -- extraction
 
 _PART = [Slice("price", 2, 15, 64), Slice("size", 2, 23, 16), Slice("key", 2, 25, 56), Slice("triple", 2, 24, 64, word=1)]
@@ -329,6 +354,15 @@ def bit_slice(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumnRenamed("map_key", "key")
 
 
+@query(
+    """select p_partkey as key, p_size::bigint % 32 as five, ((round(p_retailprice * 100)::bigint) >> 6) % 256 * 256 + ((round(p_retailprice * 100)::bigint) >> 3) % 8 as eleven
+    from part"""
+)
+def bit_slice_within_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    got = extract_mapping(words(spark, sf), [Slice("five", 2, 24, 5, shift=3), Slice("eleven", 2, 21, 11, shift=2)])
+    return got.withColumnRenamed("map_key", "key")
+
+
 @query("select n_nationkey::bigint as map_key, n_regionkey::bigint as region, 1234567::bigint as a, 89::bigint as b from nation")
 def merge_single_mapping_rows(spark: SparkSession, sf: str) -> DataFrame:
     single = extract_simple(words(spark, sf), [Slice("a", 0, 25, 32), Slice("b", 0, 29, 16)])

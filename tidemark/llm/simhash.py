@@ -35,6 +35,8 @@ from tidemark.llm.frames import as_bytes, slices, staged, unused
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer; each emits its ball of half that radius.
 RADIUS = 2
+#: Fingerprints whose balls one task emits.
+BALLS = 1 << 17
 
 
 def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
@@ -70,11 +72,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the distinct long ``fingerprint`` values, enough to join all within two bits."""
+    """Links (a, b) between the distinct long ``fingerprint`` values of a staged table, enough to join all within two bits."""
     flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
     f = F.col("fingerprint")
     ball = F.array(F.struct(f.alias("variant"), F.lit(0).cast("bigint").alias("flip")), *[F.struct(f.bitwiseXOR(F.lit(x).cast("bigint")).alias("variant"), F.lit(x).cast("bigint").alias("flip")) for x in flips])
-    emitted = distinct.select(F.explode(ball).alias("x")).select("x.variant", "x.flip")
+    # A fingerprint is a few bytes in its file and 65 rows here: tasks go by their number, not by the size of the files.
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // BALLS))
+    emitted = distinct.select("fingerprint").repartition(tasks).select(F.explode(ball).alias("x")).select("x.variant", "x.flip")
     buckets = emitted.groupBy("variant").agg(F.expr("bit_or(flip)").alias("flips"), F.max((F.col("flip") == 0).cast("int")).alias("itself"))
     buckets = buckets.where(F.expr("bit_count(flips) + itself > 1"))
     bits = F.filter(F.array(*[F.lit(x).cast("bigint") for x in flips]), lambda x: F.col("flips").bitwiseAND(x) != 0)
@@ -109,7 +113,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         joined = shingles.joined_nodes(df, known, text_col)
     else:
         known = staged(fingerprints(df, id_col, text_col, key=text_hash, row=row_hash), "fingerprints").withColumnRenamed("fingerprint", "node")
-        joined = components(near_links(known.select(F.col("node").alias("fingerprint")).distinct()))
+        joined = components(near_links(staged(known.select(F.col("node").alias("fingerprint")).distinct(), "distinct-fingerprints")))
     first = known.where("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key", "row")).alias("first"))
     rooted = first.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     kept = rooted.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")

@@ -1,7 +1,7 @@
 """Places in a total order, by ranges of the whole order: no group, however large, is sorted in one task.
 
 Rows are range-partitioned and sorted once, numbered within their range, and kept by a reliable checkpoint, so that all uses see the same
-ranges. What is then gathered is a row for each range and group that meet: ranges plus groups.
+ranges. What is then gathered is a row for each range, or for each range and group that meet.
 """
 
 from __future__ import annotations
@@ -57,11 +57,12 @@ def numbered(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 def neighbours(rows: DataFrame, group: str, by: Sequence[str], key: Sequence[str]) -> DataFrame:
     """``rows`` with __before and __after, the key columns (a struct) of the row before and after in its group; null at the ends."""
     o = ordered(rows, [group, *by])
-    id_ = F.struct(*key)
-    edges = o.groupBy(F.col(group).alias("__g"), F.col(RANGE).alias("__r")).agg(F.min_by(id_, AT).alias("__first"), F.max_by(id_, AT).alias("__last"))
-    of_group = Window.partitionBy("__g").orderBy("__r")
-    edges = edges.select("__g", "__r", F.lag("__last").over(of_group).alias("__left"), F.lead("__first").over(of_group).alias("__right"))
-    inside = Window.partitionBy(group, RANGE).orderBy(AT)
-    o = o.withColumns({"__before": F.lag(id_).over(inside), "__after": F.lead(id_).over(inside)})
-    out = o.join(edges, F.col(group).eqNullSafe(F.col("__g")) & (F.col(RANGE) == F.col("__r")))
-    return out.select(*rows.columns, F.coalesce("__before", "__left").alias("__before"), F.coalesce("__after", "__right").alias("__after"))
+    row = F.struct(F.col(group).alias("g"), F.struct(*key).alias("k"))
+    edges = o.groupBy(F.col(RANGE).alias("__r")).agg(F.min_by(row, AT).alias("__first"), F.max_by(row, AT).alias("__last"))
+    # One row a range is gathered. Groups are compared afterwards, so that window and join go by the range alone and share a shuffle.
+    edges = edges.select("__r", F.lag("__last").over(Window.orderBy("__r")).alias("__left"), F.lead("__first").over(Window.orderBy("__r")).alias("__right"))
+    inside = Window.partitionBy(RANGE).orderBy(AT)
+    o = o.withColumns({"__before": F.lag(row).over(inside), "__after": F.lead(row).over(inside)})
+    out = o.join(edges, F.col(RANGE) == F.col("__r"))
+    same = lambda x: F.when(x["g"].eqNullSafe(F.col(group)), x["k"])
+    return out.select(*rows.columns, same(F.coalesce("__before", "__left")).alias("__before"), same(F.coalesce("__after", "__right")).alias("__after"))

@@ -15,6 +15,9 @@ from pyspark.sql.functions import arrow_udf
 #: Arrow batches are cut into slices of about this many bytes of text before any per-document work.
 SLICE_BYTES = 4 << 20
 
+#: Rows that a Parquet scan decodes at a time where texts are whole.
+SCAN_ROWS = 512
+
 #: White space between words, in every operator here: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -81,6 +84,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a task holds of whole texts, for work of many stages on the same executors: scans decode SCAN_ROWS rows at a time and Arrow batches
+    end at SLICE_BYTES. With Spark's 4096 rows and 64 MB a task's buffers are of tens of MB, which the JVM's heap does not give back
+    between stages. Settings that the session or the cluster made itself stay. Results do not depend on them."""
+    for name, value in (("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", SLICE_BYTES)):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(value))
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null texts are empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

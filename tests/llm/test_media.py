@@ -452,3 +452,17 @@ def test_staged_tables_are_deleted(spark):
         path = fresh_path(spark, "gone")
         spark.range(3).write.parquet(path)
     assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_small_batches_leave_what_a_session_sets(spark):
+    from tidemark.llm.frames import SCAN_ROWS, SLICE_BYTES, small_batches
+
+    rows, size = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    other = spark.newSession()
+    other.conf.unset(rows)
+    other.conf.set(size, "2097152")
+    small_batches(other)
+    assert (other.conf.get(rows), other.conf.get(size)) == (str(SCAN_ROWS), "2097152")
+    other.conf.unset(size)
+    small_batches(other)
+    assert other.conf.get(size) == str(SLICE_BYTES)

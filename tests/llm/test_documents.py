@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import encoding, language, mixing, packing, quality, shingles, simhash, token_counts, token_store
+from tidemark.llm import encoding, frames, language, mixing, packing, quality, shingles, simhash, token_counts, token_store
 from tidemark.llm.components import components
 from tidemark.llm.frames import fresh_path
 
@@ -384,6 +384,32 @@ def test_the_pipeline_drops_edited_copies(spark):
     assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()] == [1]
 
 
+def test_very_frequent_shingles_go_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "HOT", 3)
+    monkeypatch.setattr(frames, "MOST_WORDS", 1)
+    base, r = [f"w{k}" for k in range(120)], random.Random(2)
+    rows = [(k, " ".join([*base[:at], f"x{k}", *base[at + 1 :]])) for k, at in enumerate(r.choices(range(120), k=30))]
+    rows += [(100 + k, " ".join(f"y{k} z{x}" for x in range(20))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in shingles.near_duplicates(df).collect()} == {d: 0 if d < 100 else d for d, _ in rows}
+    assert sorted(x.doc_id for x in simhash.keep_one(df, similarity=True).collect()) == [0, *range(100, 120)]
+
+
+def test_shuffles_of_staged_tables_are_deleted(spark):
+    import pathlib
+    import time
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for d in dirs for p in pathlib.Path(d).rglob("shuffle_*.data")}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name)
+    kept = frames.staged(spark.range(1000).repartition(3, "id").groupBy("id").count(), "tried")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and kept.count() == 1000 and spark.conf.get(name) == setting
+
+
 def test_components_of_a_path(spark):
     n = 60
     links = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (101, 100), (100, 100), (None, 3)], "a bigint, b bigint")

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Arrow batches are cut into slices of about this many bytes of text before any per-document work.
@@ -18,6 +19,9 @@ SLICE_BYTES = 4 << 20
 #: Rows that a Parquet scan decodes at a time where texts are whole.
 SCAN_ROWS = 512
 
+#: 64-bit words of a bitmap of keys at most.
+MOST_WORDS = 1 << 18
+
 #: White space between words, in every operator here: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -74,10 +78,39 @@ def staged(df: DataFrame, name: str, folder: str | None = None, compression: str
     recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = folder or fresh_path(spark, name)
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    with short_shuffles(spark):
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside are deleted with them, and don't wait until the driver happens to collect its garbage. Where
+    the session sets this itself, that holds."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    mine = not spark.sparkContext.getConf().contains(name) and spark.conf.get(name, "false") == "false"
+    if mine:
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if mine:
+            spark.conf.unset(name)
+
+
+def maybe_among(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column ``name``: False only where the bigint ``column`` is none of ``keys`` (a staged table of one column). A bitmap of 16 bits
+    a key, and of MOST_WORDS at most, is broadcast; a key that it holds by chance is for the join behind it to drop."""
+    words = min(MOST_WORDS, 1 << max(4, (keys.count() // 4).bit_length()))
+    at, bits = unused(["__at", "__bits"], [*df.columns, name])
+    word = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(words).cast("bigint"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(c, F.lit(2)), F.lit(64)).cast("int"))
+    one = keys.toDF("key")
+    table = one.select(word("key").alias(at), bit("key").alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
+    found = df.withColumn(name, word(column)).join(F.broadcast(staged(table, "bitmap")), F.col(name) == F.col(at), "left")
+    return found.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit(column)) != 0, F.lit(False))).drop(at, bits)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

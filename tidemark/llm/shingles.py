@@ -5,10 +5,15 @@ In any one order of all shingles, two sets of similarity 4/5 or more share a shi
 set's size), so nodes that meet in those prefixes are all the candidates there are. The order puts rare shingles first; how often
 they occur is taken from a sample, which bears on the number of candidates and on nothing else.
 
-Each node's prefix is kept once, and an aggregation counts the nodes of every shingle. Nodes that meet by a shingle of SMALL nodes or fewer, as often
-as their sizes ask for, are candidate pairs. Those of a more frequent one (copies with edits, mostly) are each linked to its least node and so
-joined into groups, dealt into blocks, and each two blocks of a group are compared in a task of their own, as sparse products; only a
-spanning forest of the links leaves it. Every candidate is decided by its sets. No task holds all nodes of a shingle or a group.
+One shuffle brings the nodes of a shingle together, and only shingles of several nodes are kept. Nodes that meet by a shingle of SMALL nodes or fewer,
+as often as their sizes ask for, are candidates. Those of a more frequent one (copies with edits, mostly) are each linked to its least node.
+Candidates that the caller brings (``links``) count like these. All of them are joined to groups, a group is dealt into blocks, and each two blocks of a group
+are compared in a task of their own, as sparse products; only a spanning forest of the links leaves it. Every candidate is decided by its
+sets. A shingle of more than HOT nodes is split into parts by node, whose least nodes are linked; no task holds all nodes of one, or a whole group.
+The sample is a share of the texts, so the nodes that a shingle may have unnoticed stay as few in large tables; with a sample of fixed size
+common passages enter the prefixes there, and groups grow until their blocks fill the disk.
+
+Texts are not shuffled: those whose sets are asked for are found by a bitmap of their keys, and only sets travel.
 
 A group of near copies is compared all with all, in blocks: its work grows with the square of its distinct members.
 
@@ -22,21 +27,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.frames import as_bytes, give_back, slices, staged
+from tidemark.llm.frames import as_bytes, give_back, maybe_among, short_shuffles, slices, staged
 from tidemark.llm.metric_join import least_labels
 
 SEED = 42
 WORDS = 5
 #: Least similarity, as numerator and denominator.
 SIMILARITY = 4, 5
-#: Nodes of a prefix shingle that are paired one by one; nodes and shingles of a block of a larger group.
-SMALL, BLOCK, BLOCK_SHINGLES = 64, 128, 1 << 18
-#: Texts that say how frequent shingles are, and shingles whose frequency is kept.
-SAMPLE, FREQUENT = 16_000, 200_000
+#: Nodes of a prefix shingle that are paired one by one; nodes and shingles of a block of a group; nodes of a part of a shingle.
+SMALL, BLOCK, BLOCK_SHINGLES, HOT = 64, 512, 1 << 19, 20_000
+#: Texts that say how frequent shingles are: at least so many, and this share. Shingles whose frequency is kept.
+SAMPLE, SHARE, FREQUENT = 16_000, 1 / 16, 400_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -60,6 +65,15 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def similar(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
     """Whether sets of a and b shingles with ``common`` in both have the least similarity."""
     return SIMILARITY[1] * common >= SIMILARITY[0] * (a + b - common)
@@ -107,7 +121,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     owner = np.repeat(np.arange(g), [len(x) for x in sets])
     names, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     use = times[column] > 1
-    owner, column = owner[use], column[use]
+    owner, (names, column) = owner[use], np.unique(column[use], return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     total = np.zeros((g, g), np.float32)
@@ -117,16 +131,17 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
             part = np.zeros((g, 4096), np.float32)
             part[owner[a:b], column[a:b] - at] = 1
             total += part @ part.T
-    return total.astype(np.int64)
+    return total.astype(np.int32)
 
 
-def near_links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes, enough to join all that are similar. ``docs``: text and its key; ``known``: doc_id, key, node."""
+def near_links(docs: DataFrame, known: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between nodes, enough to join all that are similar. ``docs``: text and its key; ``known``: the rows of ``nodes``;
+    ``links``: further pairs (a, b) of nodes to decide."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = known.count()
-    place = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20))
-    some = docs.where(place < int(min(1.0, SAMPLE / max(1, total)) * (1 << 20))).dropDuplicates(["key"])
+    share = min(1.0, max(SHARE, SAMPLE / max(1, total)))
+    some = docs.where(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["key"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -134,54 +149,56 @@ def near_links(docs: DataFrame, known: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(x).view(np.int64))], ["shingle"])
 
     times = some.select("text").mapInArrow(each, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    got = times.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    with short_shuffles(spark):
+        got = times.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     frequent = got.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[order], got.column("n").to_numpy()[order]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = shared.value
+        hot = np.flatnonzero(counts / share > HOT)
+        hot, of = names[hot], np.ceil(counts[hot] / share / HOT).astype(np.int64)
         for batch in slices(batches, "text", 1 << 20):
             rows = []
             for x in as_bytes(batch.column(0)):
                 found = shingles(x)
-                first = prefix(found, *shared.value).view(np.int64)
-                rows.append(np.stack([first, np.full(len(first), node_of(found)), np.full(len(first), len(found))], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(np.unique(np.concatenate(rows), axis=0).T)], ["shingle", "node", "size"])
-
-    postings = docs.select("text").mapInArrow(freed(prefixes), "shingle bigint, node bigint, size bigint").distinct()
-    postings = staged(postings, "shingle-postings")
-    times = postings.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    met = staged(postings.join(times, "shingle"), "shingle-meetings")
-    pairs = staged(candidate_pairs(met.where(F.col("n") <= SMALL).select("shingle", "node", "size")), "shingle-pairs")
-    groups = staged(components(met.where(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("least").alias("b"))), "shingle-groups")
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct()
-    keys = known.groupBy("node").agg(F.min("key").alias("key")).join(needed, "node", "left_semi").select("key")
+                first, node = prefix(found, names, counts), node_of(found)
+                part = np.full(len(first), -1)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, first), len(hot) - 1)
+                    part = np.where(hot[at] == first, node % of[at], -1)
+                rows.append(np.stack([first.view(np.int64), part, np.full(len(first), node), np.full(len(first), len(found))], axis=1))
+            got = np.unique(np.concatenate(rows), axis=0).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in got], ["shingle", "part", "node", "size"])
+
+    postings = docs.select("text").mapInArrow(freed(prefixes), "shingle bigint, part bigint, node bigint, size bigint")
+    postings = postings.repartition(tasks, "shingle", "part").dropDuplicates(["shingle", "part", "node", "size"])
+    there = Window.partitionBy("shingle", "part")
+    met = postings.withColumns({"n": F.count("*").over(there), "least": F.min("node").over(there)}).where("n > 1 or part >= 0")
+    met = staged(met, "shingle-meetings")
+    pairs = candidate_pairs(met.where((F.col("n") <= SMALL) & (F.col("part") < 0)).select("shingle", "node", "size"))
+    stars = met.where((F.col("n") > SMALL) | (F.col("part") >= 0)).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    ends = met.where("part >= 0").select("shingle", "least").distinct()
+    tops = ends.groupBy("shingle").agg(F.min("least").alias("b"))
+    asked = pairs.union(stars).union(ends.join(tops, "shingle").select(F.col("least").alias("a"), "b"))
+    groups = staged(components(asked if links is None else asked.union(links.select("a", "b"))), "shingle-groups")
+
+    distinct = known.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"))
+    members = staged(groups.join(distinct, "node"), "shingle-members")
+    sums = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
+    members = staged(members.join(sums, "component").select("component", "node", "key", "blocks"), "shingle-blocks")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in slices(batches, "text", 1 << 20):
-            found = [shingles(x) for x in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "size", "found"])
-
-    texts = docs.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    sets = staged(texts.mapInArrow(freed(whole), "node bigint, size bigint, found binary"), "shingle-sets")
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
-    alone = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(freed(decided), "a bigint, b bigint")
+            rows = [(k, shingles(x).tobytes()) for k, x in zip(batch.column(1).to_pylist(), as_bytes(batch.column(0)), strict=True) if not (k in sent or sent.add(k))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["key", "found"])
 
+    texts = maybe_among(docs.select("text", "key"), "key", members.select("key"), "asked").where("asked").select("text", "key")
+    dealt = members.join(texts.mapInArrow(freed(whole), "key bigint, found binary"), "key")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
     # Each two blocks of a group meet in one task.
-    dealt = groups.join(sets, "node")
-    sums = dealt.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
-    dealt = dealt.join(sums, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.select("component", "node", "found", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "found")
 
@@ -202,12 +219,13 @@ def near_links(docs: DataFrame, known: DataFrame) -> DataFrame:
                 if at != key:
                     yield from close()
                     key, nodes, sets_ = at, [], []
-                nodes.append(node)
-                sets_.append(np.frombuffer(found, np.uint64))
+                if not nodes or nodes[-1] != node:  # a text that several tasks read comes more than once
+                    nodes.append(node)
+                    sets_.append(np.frombuffer(found, np.uint64))
         yield from close()
 
-    together = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(freed(compared), "a bigint, b bigint")
-    return staged(alone.union(together), "shingle-links")
+    together = dealt.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    return staged(together.mapInArrow(freed(compared), "a bigint, b bigint"), "shingle-links")
 
 
 def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -223,21 +241,25 @@ def freed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
-    """(doc_id, key, row, node) of each row: hashes of its text, of ``row`` (0 if not given) and of its shingles. Staged."""
+    """(doc_id, key, row, node, size, fingerprint) of each row: hashes of its text, of ``row`` (0 if not given) and of its shingles, their number and
+    their SimHash. Staged."""
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     docs = df.select(text.alias("text"), df[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), (F.lit(0).cast("bigint") if row is None else row).alias("row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([node_of(shingles(x)) for x in as_bytes(batch.column(0))], pa.int64())], ["doc_id", "key", "row", "node"])
+            rows = [(node_of(found), len(found), majority(found)) for found in map(shingles, as_bytes(batch.column(0)))]
+            node, size, bits = zip(*rows, strict=True)
+            made = [pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], ["doc_id", "key", "row", "node", "size", "fingerprint"])
 
-    return staged(docs.mapInArrow(freed(work), "doc_id bigint, key bigint, row bigint, node bigint"), "shingle-nodes")
+    return staged(docs.mapInArrow(freed(work), "doc_id bigint, key bigint, row bigint, node bigint, size bigint, fingerprint bigint"), "shingle-nodes")
 
 
-def joined_nodes(df: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, component) of the nodes that are similar to another."""
+def joined_nodes(df: DataFrame, known: DataFrame, text_col: str = "text", links: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the nodes that are similar to another; pairs of ``links`` are decided, too."""
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    return components(near_links(df.select(text.alias("text"), F.xxhash64(text).alias("key")), known))
+    return components(near_links(df.select(text.alias("text"), F.xxhash64(text).alias("key")), known, links))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ this leaves out are linked through that member.
 
 Copies share a fingerprint and are one node, so a group of any size costs no more than one document.
 
-Fingerprints within two bits are near copies indeed, but texts of Jaccard similarity 0.8 mostly differ in 3 to 11 bits, and balls of half of
+Fingerprints within two bits are near copies mostly, but texts of Jaccard similarity 0.8 mostly differ in 3 to 11 bits, and balls of half of
 that are beyond any size. ``keep_one`` with ``similarity`` therefore links by the shingle sets themselves (``shingles``), exactly.
 
 Nulls: a null text has no words and fingerprint zero, as an empty one; fingerprint zero is linked like any other. A null id is
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
 from tidemark.llm.components import components
-from tidemark.llm.frames import as_bytes, slices, staged, unused
+from tidemark.llm.frames import as_bytes, maybe_among, slices, staged, unused
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer; each emits its ball of half that radius.
@@ -52,11 +52,7 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     k = min(words_per_shingle, len(words)) - 1
     value, hashed = SEED, xxhash.xxh64_intdigest
     got = np.fromiter((hashed(line[a:b], value) for a, b in zip((ends - size)[: len(ends) - k].tolist(), ends[k:].tolist(), strict=True)), np.uint64, len(words) - k)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(got), 1 << 16):
-        part = got[at : at + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(got), bitorder="little").view("<u8")[0])
+    return shingles.majority(got)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, **hashes: Column) -> DataFrame:
@@ -114,10 +110,17 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     else:
         known = staged(fingerprints(df, id_col, text_col, key=text_hash, row=row_hash), "fingerprints").withColumnRenamed("fingerprint", "node")
         joined = components(near_links(staged(known.select(F.col("node").alias("fingerprint")).distinct(), "distinct-fingerprints")))
-    first = known.where("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key", "row")).alias("first"))
+    first = known.where("doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key", "row")).alias("first"), F.count("*").alias("rows"))
     rooted = first.join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    kept = rooted.groupBy(F.coalesce("component", "node")).agg(F.min("first").alias("first")).select("first.*")
+    rooted = staged(rooted.select("node", F.coalesce("component", "node").alias("root"), "first", "rows"), "near-nodes")
+    # Rows without a partner stay where they are; those of groups are shuffled, and the few that the bitmap takes for such.
+    groups = staged(rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")).select("root", "rows", "first.*"), "near-groups")
+    several = rooted.join(groups.where("rows > 1"), "root", "left_semi")
+    keys = staged(known.join(several, "node", "left_semi").select("key").distinct(), "near-keys")
+    maybe, marked_id = unused(["__maybe", "__id"], [*df.columns, key, row])
+    marked = maybe_among(df.withColumns({key: text_hash, row: row_hash}), key, keys, maybe).withColumn(marked_id, F.col(f"`{id_col}`").cast("bigint"))
+    alone = marked.where(F.col(marked_id).isNull() | ~F.col(maybe))
     # Repeated rows are combined before the shuffle, and the join goes by the same keys.
-    rows = df.withColumns({key: text_hash, row: row_hash}).dropDuplicates([id_col, key, row])
-    rows = rows.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("row").alias("kept_row")), (F.col(id_col).cast("bigint") == F.col("kept_id")) & (F.col(key) == F.col("kept_key")) & (F.col(row) == F.col("kept_row")), "left_semi")
-    return rows.select(*df.columns).unionByName(df.where(df[id_col].isNull()))
+    rows = marked.where(F.col(marked_id).isNotNull() & F.col(maybe)).dropDuplicates([marked_id, key, row])
+    kept = groups.select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"), F.col("row").alias("kept_row"))
+    return alone.select(*df.columns).unionByName(rows.join(kept, (F.col(marked_id) == F.col("kept_id")) & (F.col(key) == F.col("kept_key")) & (F.col(row) == F.col("kept_row")), "left_semi").select(*df.columns))

@@ -384,6 +384,23 @@ def test_the_pipeline_drops_edited_copies(spark):
     assert [r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()] == [1]
 
 
+def test_balls_give_the_pipeline_links(spark, monkeypatch):
+    """Of candidates by balls alone: a copy within two bits goes, and a pair that the sets don't bear out stays."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), "something else " * 9]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    monkeypatch.setattr(shingles, "candidate_pairs", lambda met: met.where("false").select(met.node.alias("a"), met.node.alias("b")))
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == [1, 3]
+    known = shingles.nodes(df)
+    node = {r.doc_id: r.node for r in known.collect()}
+    assert {frozenset((r.a, r.b)) for r in simhash.node_links(known).collect()} == {frozenset((node[1], node[2]))}
+    docs = known.join(df, "doc_id").select("text", "key")
+    asked = spark.createDataFrame([(node[1], node[2]), (node[1], node[3])], "a bigint, b bigint")
+    assert {frozenset((r.a, r.b)) for r in shingles.near_links(docs, known, asked).collect()} == {frozenset((node[1], node[2]))}
+
+
 def test_very_frequent_shingles_go_in_parts(spark, monkeypatch):
     monkeypatch.setattr(shingles, "HOT", 3)
     monkeypatch.setattr(frames, "MOST_WORDS", 1)

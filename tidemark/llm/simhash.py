@@ -11,7 +11,8 @@ this leaves out are linked through that member.
 Copies share a fingerprint and are one node, so a group of any size costs no more than one document.
 
 Fingerprints within two bits are near copies mostly, but texts of Jaccard similarity 0.8 mostly differ in 3 to 11 bits, and balls of half of
-that are beyond any size. ``keep_one`` with ``similarity`` therefore links by the shingle sets themselves (``shingles``), exactly.
+that are beyond any size. ``keep_one`` with ``similarity`` takes the balls' links over five-word shingles as candidates, adds those that balls can't reach
+(``shingles``), and decides all of them exactly by the shingle sets.
 
 Nulls: a null text has no words and fingerprint zero, as an empty one; fingerprint zero is linked like any other. A null id is
 kept, with the least non-null id of its group. Repeated rows are kept. An empty table gives an empty result. ``keep_one`` keeps one row of each
@@ -83,6 +84,15 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return found.where("a <> b").distinct().where(F.expr(f"bit_count(a ^ b) <= {RADIUS}"))
 
 
+def node_links(known: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of ``known`` (``shingles.nodes``) whose fingerprints are within two bits, by ball hashing."""
+    prints = staged(known.groupBy("fingerprint").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    same = known.join(prints, "fingerprint").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    ends = [prints.select(F.col("fingerprint").alias(x), F.col("first").alias(f"node_{x}")) for x in "ab"]
+    near = near_links(prints).join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return staged(same.union(near).distinct(), "ball-links")
+
+
 def hex_digits(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
@@ -100,13 +110,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: bool = False) -> DataFrame:
     """One row of each group of near-duplicates: by fingerprints, or with ``similarity`` by five-word shingles of similarity 0.8 or more
-    (``shingles.SIMILARITY``)."""
+    (``shingles.SIMILARITY``), of the pairs that balls or prefixes of the sets bring together."""
     key, row = unused(["__key", "__row"], df.columns)
     others = [df[c] for c, kind in df.dtypes if c not in (id_col, text_col) and "map<" not in kind]
     text_hash, row_hash = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))), F.xxhash64(*others) if others else F.lit(0).cast("bigint")
     if similarity:
         known = shingles.nodes(df, id_col, text_col, row_hash)
-        joined = shingles.joined_nodes(df, known, text_col)
+        joined = shingles.joined_nodes(df, known, text_col, node_links(known))
     else:
         known = staged(fingerprints(df, id_col, text_col, key=text_hash, row=row_hash), "fingerprints").withColumnRenamed("fingerprint", "node")
         joined = components(near_links(staged(known.select(F.col("node").alias("fingerprint")).distinct(), "distinct-fingerprints")))

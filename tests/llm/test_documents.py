@@ -144,6 +144,19 @@ def test_sum_of_squares_choice():
 # -- token store
 
 
+def test_chunks_stay_out_of_python_behind_the_shuffle(spark, monkeypatch):
+    """A chunk that several tasks send is stored once; its address alone is looked at, on the far side of the shuffle."""
+    plans, write = [], type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()), write(self, *a, **b))[1])
+    folder = frames.fresh_path(spark, "sent-once")
+    text = " ".join(f"w{k}" for k in range(3000))
+    token_store.write_store(spark.createDataFrame([(k, text) for k in range(8)], "doc_id bigint, text string").repartition(4), folder)
+    names = [bytes(r.chunk_id) for r in token_store.chunk_rows(spark, folder).collect()]
+    assert len(names) == len(set(names)) > 1
+    assert plans[0].count("MapInArrow") == 1 and plans[0].index("first(") < plans[0].index("Repartition") < plans[0].index("MapInArrow")
+    assert len({r.ids_crc32 for r in token_store.read_digests(spark, folder).collect()}) == 1
+
+
 def test_token_store(spark, docs, tokenizer):
     folder = fresh_path(spark, "test-store")
     token_store.write_store(docs, folder)

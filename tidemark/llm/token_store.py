@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tidemark.llm import encoding
 from tidemark.llm.frames import fresh_path, slices
@@ -165,15 +166,10 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
                 rows.append((int.from_bytes(leaf_of(doc, b - a, names)[:8], "little", signed=True), doc, b - a, names, lengths, None, None))
             yield batch_of([list(x) for x in zip(*rows, strict=True)])
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for name in batch.column(5).to_pylist():
-                keep.append(name is None or name not in seen)
-                if name is not None:
-                    seen.add(name)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for column in columns:
+            yield pa.array([name is None or not (name in seen or seen.add(name)) for name in column.to_pylist()], pa.bool_())
 
     def recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -200,8 +196,9 @@ def write_store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     named = df.select(df[id_col].cast("bigint").alias("__id"), df[text_col].cast("string").alias("__text"))
     size = df.agg(F.sum(F.octet_length(df[text_col].cast("string")))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
-    packs = named.mapInArrow(encode, raw).repartition(tasks, "route").mapInArrow(once, raw)
-    packs.write.option("compression", "zstd").parquet(f"{folder}/packs")
+    # Only addresses go to Python; what is kept depends on the rows before, so it must not be asked on the other side of the shuffle.
+    packs = named.mapInArrow(encode, raw).repartition(tasks, "route").where(arrow_udf(first, "boolean").asNondeterministic()("chunk_id"))
+    packs.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 1).parquet(f"{folder}/packs")
     documents = spark.read.schema(packs.schema).parquet(f"{folder}/packs").where("chunk_id is null").select("doc_id", "n_tokens", "chunk_ids", "chunk_lengths")
     order = documents.repartitionByRange("doc_id", "n_tokens").sortWithinPartitions("doc_id", "n_tokens", "chunk_ids")
     order.mapInArrow(recipes, "shard int, doc_id bigint, before bigint, n_tokens bigint, chunk_ids array<binary>, chunk_after array<bigint>, leaf binary, docs bigint, root binary").write.parquet(f"{folder}/recipes")
